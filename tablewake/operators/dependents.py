@@ -201,11 +201,10 @@ def blast_radius(result: Walk, join_edges: DataFrame) -> DataFrame:
     tables = count_bits(result.placed.where("hop > 0"), "tables_orphaned")
     refs = join_refs(join_edges, result.foci)
     foci = result.foci
+    bits = foci.selectExpr("block", "mask", "database_name AS bit_database", "table_name AS bit_table")
     joining = refs.join(
-        foci,
-        (refs["focus_table"] == foci["table_name"])
-        & refs["focus_database"].eqNullSafe(foci["database_name"]),
-    ).select(foci["block"], "job_id", foci["mask"])
+        bits, F.expr("focus_table = bit_table AND focus_database <=> bit_database")
+    ).select("block", "job_id", "mask")
     visits = job_visits(result).select("block", "job_id", "mask")
     merged = visits.unionByName(joining).groupBy("block", "job_id").agg(
         F.bit_or("mask").alias("mask")

@@ -12,7 +12,6 @@ One table name, job or focus may hold a third of all rows. Two tools deal with t
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +21,6 @@ ITEMS_PER_PART = 10_000
 BYTES_PER_PART = 64 * 1024 * 1024
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys; still an equi join for Spark."""
-    return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def hot_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Keys with more than ``rows_per_salt`` rows and the number of salts each needs.
 
@@ -67,22 +61,23 @@ def listed(
     example its length in bytes. Items may be structs; they sort field by field.
     """
     cost = F.lit(1) if weight is None else weight
-    totals = df.groupBy(*keys).agg(F.sum(cost).alias("total"))
-    large = totals.where(F.col("total") > part_weight).select(
-        *keys, F.ceil(F.col("total") / part_weight).cast("int").alias("n_parts")
-    )
-    sized = df.join(large, same_keys(df, large, keys), "left").select(
-        *[df[k] for k in keys],
-        df[item].alias("item"),
-        F.coalesce(large["n_parts"], F.lit(1)).alias("n_parts"),
-    )
-    part = F.when(F.col("n_parts") == 1, 0).otherwise(
-        F.pmod(F.xxhash64("item"), F.col("n_parts"))
+    sized = df.select(*keys, F.col(item).alias("item"), cost.alias("weight"))
+    large = (
+        sized.groupBy(*keys)
+        .agg(F.sum("weight").alias("total"))
+        .where(F.col("total") > part_weight)
+        .select(
+            *[F.col(k).alias(f"large_{k}") for k in keys],
+            F.ceil(F.col("total") / part_weight).cast("int").alias("n_parts"),
+        )
     )
+    same_keys = " AND ".join(f"{k} <=> large_{k}" for k in keys)
+    part = "CAST(if(n_parts IS NULL, 0, pmod(xxhash64(item), n_parts)) AS INT) AS part"
     return (
-        sized.withColumn("part", part.cast("int"))
+        sized.join(large, F.expr(same_keys), "left")
+        .selectExpr(*keys, "item", part, "coalesce(n_parts, 1) AS n_parts")
         .groupBy(*keys, "part", "n_parts")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
+        .agg(F.expr("array_sort(collect_list(item)) AS items"))
     )
 
 

@@ -71,18 +71,24 @@ def log_additions(log: DataFrame, records: DataFrame) -> DataFrame:
     return records.join(log, ["event_id", "table_name"], "left_anti").select(*records.columns)
 
 
-def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
+def read_audit_log(spark: SparkSession, path: str, but_not: str | None = None) -> DataFrame:
+    """The log of all runs, or of all but one."""
     try:
-        return spark.read.schema(AUDIT_LOG).parquet(path)
+        log = spark.read.schema(f"{AUDIT_LOG}, run string").parquet(path)
     except AnalysisException:
-        return spark.createDataFrame([], AUDIT_LOG)
+        log = spark.createDataFrame([], f"{AUDIT_LOG}, run string")
+    kept = log if but_not is None else log.where(F.col("run") != but_not)
+    return kept.drop("run")
 
 
-def append_audit_log(spark: SparkSession, path: str, records: DataFrame) -> None:
-    """Append new records, stamped with the time of this run."""
-    new = log_additions(read_audit_log(spark, path), records.select(*LOG_COLUMNS))
+def write_audit_log(spark: SparkSession, path: str, records: DataFrame, run: str) -> None:
+    """Add the records of one run that no other run has logged, stamped with the time.
+
+    A run owns the folder ``run=<name>`` and replaces it, so repeating a run is harmless.
+    """
+    new = log_additions(read_audit_log(spark, path, but_not=run), records.select(*LOG_COLUMNS))
     stamped = new.withColumn("reported_at", F.current_timestamp())
-    stamped.write.mode("append").parquet(path)
+    stamped.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def write_report(lines: DataFrame, path: str, *order: str) -> None:

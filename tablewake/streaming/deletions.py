@@ -9,7 +9,7 @@ from ..operators import audit
 from ..plans.audit_run import REPORT_ORDER, audit_run
 from ..schemas import INVENTORY
 from ..sources.scratch import cut
-from ..sources.snapshot import append_audit_log, read_audit_log, read_snapshot, write_report
+from ..sources.snapshot import read_audit_log, read_snapshot, write_audit_log, write_report
 
 
 def read_event_stream(
@@ -40,19 +40,20 @@ def audit_batch(
     spark: SparkSession, events: DataFrame, catalog_root: str, log_path: str, report_root: str,
     batch: int, hours: int = 24, ignore_tables: str | None = None,
 ) -> None:
-    """Audit one batch against the current snapshot; report first, log last.
+    """Audit one batch against the current snapshot.
 
-    A batch that is run again after a failure overwrites its report, and the log refuses
-    records it already has, so the repeat changes nothing.
+    The batch's own log records are not counted as seen and its report and log folders are
+    replaced, so a batch that is run again after a failure gives the same result.
     """
     catalog = read_snapshot(spark, catalog_root)
-    events = cut(events)
+    run_name = f"batch-{batch}"
+    log = cut(read_audit_log(spark, log_path, but_not=run_name))
     run = audit_run(
-        events, read_audit_log(spark, log_path), catalog["job_table_edges"],
-        catalog["table_join_edges"], catalog["jobs"], catalog["tables"], hours, ignore_tables,
+        cut(events), log, catalog["job_table_edges"], catalog["table_join_edges"],
+        catalog["jobs"], catalog["tables"], hours, ignore_tables,
     )
     write_report(run.lines, f"{report_root}/batch={batch}", *REPORT_ORDER)
-    append_audit_log(spark, log_path, cut(run.records))
+    write_audit_log(spark, log_path, cut(run.records), run_name)
 
 
 def stream_audit(
