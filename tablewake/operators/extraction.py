@@ -127,10 +127,10 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def is_valid_extraction(text: Column) -> Column:
-    """Whether extractor output matches the schema: an object whose two lists, when present,
-    hold complete edges with a direction of read or write. Unknown members are allowed."""
-    value = F.try_parse_json(text)
+def is_valid_extraction(value: Column) -> Column:
+    """Whether parsed extractor output matches the schema: an object whose two lists, when
+    present, hold complete edges with a direction of read or write. Unknown members are
+    allowed."""
     is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
     def edges_ok(field: str, test: Callable[[Column], Column]) -> Column:
@@ -157,31 +157,26 @@ def is_valid_extraction(text: Column) -> Column:
 
 
 def validated(extractions: DataFrame) -> DataFrame:
-    return extractions.withColumn("valid", F.coalesce(is_valid_extraction(F.col("extraction")), F.lit(False)))
+    """Add ``valid``. The text is parsed in a step of its own, so it is parsed once."""
+    parsed = extractions.withColumn("parsed", F.try_parse_json("extraction"))
+    valid = F.coalesce(is_valid_extraction(F.col("parsed")), F.lit(False))
+    return parsed.withColumn("valid", valid).drop("parsed")
 
 
 def table_edges(extractions: DataFrame) -> DataFrame:
     """Valid extractions (job_id, extraction) to table edges."""
-    parsed = extractions.select("job_id", _dynamic_as_boolean(F.col("extraction")).alias("e"))
-    return parsed.selectExpr("job_id", "inline(e.table_edges)").selectExpr(
-        "job_id", "database AS database_name", "table AS table_name", "direction", "is_dynamic",
-        "evidence",
+    # is_dynamic is read as text, because some texts count as booleans.
+    loose = EXTRACTION.replace("is_dynamic:boolean", "is_dynamic:string")
+    parsed = extractions.select("job_id", F.from_json("extraction", loose)["table_edges"].alias("e"))
+    return parsed.selectExpr("job_id", "inline(e)").select(
+        "job_id", F.col("database").alias("database_name"), F.col("table").alias("table_name"),
+        "direction", F.lower("is_dynamic").isin(*TRUE_TEXTS).alias("is_dynamic"), "evidence",
     )
 
 
 def join_edges(extractions: DataFrame) -> DataFrame:
-    parsed = extractions.select("job_id", F.from_json("extraction", EXTRACTION).alias("e"))
-    return parsed.selectExpr("job_id", "inline(e.join_edges)")
-
-
-def _dynamic_as_boolean(text: Column) -> Column:
-    """Parse with ``is_dynamic`` read from any of the accepted boolean forms."""
-    loose = F.from_json(text, EXTRACTION.replace("is_dynamic:boolean", "is_dynamic:string"))
-    edges = F.transform(
-        loose["table_edges"],
-        lambda e: e.withField("is_dynamic", F.lower(e["is_dynamic"]).isin(*TRUE_TEXTS)),
-    )
-    return loose.withField("table_edges", edges)
+    parsed = extractions.select("job_id", F.from_json("extraction", EXTRACTION)["join_edges"].alias("e"))
+    return parsed.selectExpr("job_id", "inline(e)")
 
 
 def anchored(edges: DataFrame, joins: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ share nothing with the bit-mask form they check.
 
 from __future__ import annotations
 
-HOPS = 10
+HOPS = 14
 
 
 def foci(select: str) -> str:

@@ -117,6 +117,7 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pandas as pd
 
     for batch in batches:
+        rows = []
         for doc, path, text in zip(batch["doc_id"], batch["path"], batch["contents"], strict=True):
             data = io.BytesIO()
             with zipfile.ZipFile(data, "w") as archive:
@@ -127,7 +128,8 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 archive.writestr("deps/tool-2.dist-info/RECORD", "tool.py,,\r\n other.py ,x\n")
                 archive.writestr("deps/tool.py", "tool = 1\n")
                 archive.writestr("deps/kept.sql", "SELECT 1\n")
-            yield pd.DataFrame({"name": [f"pkg_{doc}"], "content": [data.getvalue()]})
+            rows.append((f"pkg_{doc}", data.getvalue()))
+        yield pd.DataFrame(rows, columns=["name", "content"])
 
 
 def _packages(spark: SparkSession, sf: str) -> DataFrame:
@@ -680,7 +682,7 @@ def validate_extraction(spark: SparkSession, sf: str) -> DataFrame:
         UNION ALL SELECT 'join', job_id, left_database, left_table, NULL, NULL, left_column, right_table, right_column, evidence FROM xj""",
 )
 def explode_extractions(spark: SparkSession, sf: str) -> DataFrame:
-    valid = ex.validated(view(spark, sf, "lk_extractions")).where("valid")
+    valid = cut(ex.validated(view(spark, sf, "lk_extractions"))).where("valid")
     none = "CAST(NULL AS STRING)"
     tables = ex.table_edges(valid).selectExpr(
         "'table' AS kind", "job_id", "database_name", "table_name", "direction", "is_dynamic",

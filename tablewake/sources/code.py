@@ -67,25 +67,34 @@ def bad_uris(glue_jobs: DataFrame) -> DataFrame:
     return script_uris(glue_jobs).where(is_source_path(uri) & (s3_bucket(uri).isNull() | s3_key(uri).isNull()))
 
 
+# Members handed to Spark together; one package's code is far smaller.
+FLUSH_BYTES = 16 * 1024 * 1024
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Source files and RECORD files of each package; everything else stays unread."""
     import pandas as pd
 
     wanted = (".py", ".sql", RECORD_SUFFIX)
+    columns = ["name", "path", "content"]
     for batch in batches:
+        rows, size = [], 0
         for name, content in zip(batch["name"], batch["content"], strict=True):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 for member in archive.namelist():
                     if member.endswith(wanted):
-                        yield pd.DataFrame(
-                            {"name": [name], "path": [member], "content": [archive.read(member)]}
-                        )
+                        rows.append((name, member, archive.read(member)))
+                        size += len(rows[-1][2])
+                    if size > FLUSH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def package_members(packages: DataFrame) -> DataFrame:
     """(name, path, contents) for readable packages (name, package_type, content).
 
-    Python only opens the archive; one member is in memory at a time.
+    Python only opens the archives and hands the members on in bounded batches.
     """
     readable = packages.where(F.col("package_type") == ZIP_PACKAGE).select("name", "content")
     members = readable.mapInPandas(_members, "name string, path string, content binary")
