@@ -112,32 +112,32 @@ def scan_scripts(spark: SparkSession, sf: str) -> DataFrame:
     return code.script_files(jobs, objects, "/lake").join(ids, "job_id").select("name", "path", "contents")
 
 
-def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One package per document: the file, a vendored module and its RECORD, a folder."""
-    import pandas as pd
-
-    for batch in batches:
-        rows = []
-        for doc, path, text in zip(batch["doc_id"], batch["path"], batch["contents"], strict=True):
-            data = io.BytesIO()
-            with zipfile.ZipFile(data, "w") as archive:
-                archive.writestr("app/", "")
-                archive.writestr(path, text)
-                archive.writestr("app/vendored.py", "import os\n")
-                archive.writestr("lib-1.0.dist-info/RECORD", "app/vendored.py,sha256=x,10\nlib-1.0.dist-info/RECORD,,\n")
-                archive.writestr("deps/tool-2.dist-info/RECORD", "tool.py,,\r\n other.py ,x\n")
-                archive.writestr("deps/tool.py", "tool = 1\n")
-                archive.writestr("deps/kept.sql", "SELECT 1\n")
-            rows.append((f"pkg_{doc}", data.getvalue()))
-        yield pd.DataFrame(rows, columns=["name", "content"])
-
-
 def _packages(spark: SparkSession, sf: str) -> DataFrame:
+    """One package per document: the file, vendored modules with their RECORD, a folder."""
+
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for doc, path, text in zip(batch["doc_id"], batch["path"], batch["contents"], strict=True):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as archive:
+                    archive.writestr("app/", "")
+                    archive.writestr(path, text)
+                    archive.writestr("app/vendored.py", "import os\n")
+                    archive.writestr("lib-1.0.dist-info/RECORD", "app/vendored.py,sha256=x,10\nlib-1.0.dist-info/RECORD,,\n")
+                    archive.writestr("deps/tool-2.dist-info/RECORD", "tool.py,,\r\n other.py ,x\n")
+                    archive.writestr("deps/tool.py", "tool = 1\n")
+                    archive.writestr("deps/kept.sql", "SELECT 1\n")
+                rows.append((f"pkg_{doc}", data.getvalue()))
+            yield pd.DataFrame(rows, columns=["name", "content"])
+
     files = base(spark, sf, "documents").selectExpr(
         "doc_id", "concat('app/f_', doc_id, if(source = 'src1', '_test.py', '.py')) AS path",
         "text AS contents",
     )
-    zips = files.mapInPandas(_zipped, "name string, content binary")
+    zips = files.mapInPandas(zipped, "name string, content binary")
     return zips.withColumn("package_type", F.lit("Zip"))
 
 
@@ -229,10 +229,10 @@ def write_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 def snapshot_age(spark: SparkSession, sf: str) -> DataFrame:
     root = new_path(spark, "catalog")
     snapshot.write_snapshot(spark, root, _all_tables({"jobs": view(spark, sf, "lk_jobs")}))
-    age = snapshot.snapshot_age(spark, root).select("snapshot", "hours")
-    jobs = snapshot.read_snapshot(spark, root)["jobs"].agg(F.count(F.lit(1)).alias("n_jobs"))
-    joined = jobs.withColumn("snapshot", F.lit(0)).join(age, "snapshot")
-    return joined.selectExpr("n_jobs", "hours BETWEEN -1 AND 1 AS fresh")
+    age = snapshot.snapshot_age(spark, root).selectExpr("0L AS n", "hours")
+    jobs = snapshot.read_snapshot(spark, root)["jobs"].selectExpr("1L AS n", "CAST(NULL AS DOUBLE) AS hours")
+    both = jobs.unionByName(age).agg(F.sum("n").alias("n_jobs"), F.max("hours").alias("hours"))
+    return both.selectExpr("n_jobs", "hours BETWEEN -1 AND 1 AS fresh")
 
 
 @query(
@@ -1380,14 +1380,18 @@ def stream_audit(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- extraction
 
 
-def word_extractor(name: str, content: str) -> str:
-    """A stand-in extractor: one table edge per prompt, named after its size.
+def _stand_in_extractor() -> ex.Extractor:
+    """An extractor that names one table after the job.
 
     Its first answer for every prompt whose length is odd is broken.
     """
-    if "does not match the schema" not in content and len(content) % 2:
-        return "not json"
-    return f'{{"table_edges":[{{"database":null,"table":"{name}","direction":"read","is_dynamic":false,"evidence":"x"}}]}}'
+
+    def extract(name: str, content: str) -> str:
+        if "does not match the schema" not in content and len(content) % 2:
+            return "not json"
+        return f'{{"table_edges":[{{"database":null,"table":"{name}","direction":"read","is_dynamic":false,"evidence":"x"}}]}}'
+
+    return extract
 
 
 @query(
@@ -1397,7 +1401,7 @@ def word_extractor(name: str, content: str) -> str:
 )
 def extract_edges(spark: SparkSession, sf: str) -> DataFrame:
     prompts = cut(ex.render_prompt(view(spark, sf, "lk_jobs"), _authored(spark, sf)))
-    output = rb.by_extractor(word_extractor)(view(spark, sf, "lk_jobs"), prompts)
+    output = rb.by_extractor(_stand_in_extractor())(view(spark, sf, "lk_jobs"), prompts)
     return ex.table_edges(output.where("valid")).select("job_id", "table_name", "direction")
 
 

@@ -71,34 +71,34 @@ def bad_uris(glue_jobs: DataFrame) -> DataFrame:
 FLUSH_BYTES = 16 * 1024 * 1024
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Source files and RECORD files of each package; everything else stays unread."""
-    import pandas as pd
-
-    wanted = (".py", ".sql", RECORD_SUFFIX)
-    columns = ["name", "path", "content"]
-    for batch in batches:
-        rows, size = [], 0
-        for name, content in zip(batch["name"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for member in archive.namelist():
-                    if member.endswith(wanted):
-                        rows.append((name, member, archive.read(member)))
-                        size += len(rows[-1][2])
-                    if size > FLUSH_BYTES:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows, size = [], 0
-        yield pd.DataFrame(rows, columns=columns)
-
-
 def package_members(packages: DataFrame) -> DataFrame:
     """(name, path, contents) for readable packages (name, package_type, content).
 
-    Python only opens the archives and hands the members on in bounded batches.
+    Python only opens the archives and hands on source and RECORD files in bounded batches.
     """
+
+    # Nested, so that executors need not have this package installed.
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        wanted = (".py", ".sql", RECORD_SUFFIX)
+        columns = ["name", "path", "content"]
+        for batch in batches:
+            rows, size = [], 0
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.namelist():
+                        if member.endswith(wanted):
+                            rows.append((name, member, archive.read(member)))
+                            size += len(rows[-1][2])
+                        if size > FLUSH_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
+
     readable = packages.where(F.col("package_type") == ZIP_PACKAGE).select("name", "content")
-    members = readable.mapInPandas(_members, "name string, path string, content binary")
-    return members.select("name", "path", as_text(F.col("content")).alias("contents"))
+    unpacked = readable.mapInPandas(members, "name string, path string, content binary")
+    return unpacked.select("name", "path", as_text(F.col("content")).alias("contents"))
 
 
 def dependency_paths(members: DataFrame) -> DataFrame:
