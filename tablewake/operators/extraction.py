@@ -127,17 +127,19 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def is_valid_extraction(value: Column) -> Column:
-    """Whether parsed extractor output matches the schema: an object whose two lists, when
-    present, hold complete edges with a direction of read or write. Unknown members are
-    allowed."""
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+def is_valid_extraction(text: Column, value: Column) -> Column:
+    """Whether extractor output (its text and the parsed value) matches the schema.
+
+    That is an object whose two lists, when present, hold complete edges with a direction of
+    read or write. Unknown members are allowed. Only scalars are asked for their type; the
+    type of a whole document would have to be merged from all its members.
+    """
+    is_object = value.isNotNull() & text.rlike(r"^[ \t\n\r]*\{")
 
     def edges_ok(field: str, test: Callable[[Column], Column]) -> Column:
         member = F.try_variant_get(value, f"$.{field}", "variant")
         items = F.try_variant_get(value, f"$.{field}", "array<variant>")
-        listed_ok = F.coalesce(F.schema_of_variant(member).startswith("ARRAY"), F.lit(False))
-        return member.isNull() | (listed_ok & F.coalesce(F.forall(items, test), F.lit(True)))
+        return member.isNull() | F.coalesce(F.forall(items, test), F.lit(False))
 
     def table_edge(e: Column) -> Column:
         direction = F.try_variant_get(e, "$.direction", "string").isin("read", "write")
@@ -159,7 +161,7 @@ def is_valid_extraction(value: Column) -> Column:
 def validated(extractions: DataFrame) -> DataFrame:
     """Add ``valid``. The text is parsed in a step of its own, so it is parsed once."""
     parsed = extractions.withColumn("parsed", F.try_parse_json("extraction"))
-    valid = F.coalesce(is_valid_extraction(F.col("parsed")), F.lit(False))
+    valid = F.coalesce(is_valid_extraction(F.col("extraction"), F.col("parsed")), F.lit(False))
     return parsed.withColumn("valid", valid).drop("parsed")
 
 
