@@ -57,7 +57,7 @@ FROM part
 
 # Listed databases; those above db_2 have no tables.
 VIEWS["lk_databases"] = """
-SELECT 'db_' || r_regionkey AS name, r_name AS description FROM region
+SELECT 'db_' || c_custkey AS name, c_name AS description FROM customer
 """
 
 # Catalog jobs; every eleventh has an id that no edge uses.
@@ -170,18 +170,11 @@ SELECT job_id, '{"join_edges":[{"left_database":' || coalesce('"' || left_databa
 FROM lk_join_edges
 """
 
-# Tables somebody asks about: one per nation, and the hub.
+# Tables somebody asks about: one per supplier, the first being the hub.
 VIEWS["lk_watch"] = """
-SELECT CASE WHEN n_nationkey = 7 THEN NULL ELSE 'db_' || (n_nationkey % 3) END AS database_name,
-       CASE WHEN n_nationkey = 0 THEN 'hub' ELSE 't_' || (n_nationkey * 6) END AS table_name
-FROM nation
-"""
-
-# The audit log of earlier runs: one record per event and table, as a writer may repeat them.
-VIEWS["lk_log"] = """
-SELECT 'evt-' || event_id AS event_id, 'db_' || (event_id % 3) AS database_name,
-       't_' || (2 * CAST(FLOOR(event_id / 10) AS BIGINT)) AS table_name, ts AS event_time, event_id AS seq
-FROM events WHERE ts < TIMESTAMP '2024-01-12 00:00:00'
+SELECT CASE WHEN s_suppkey % 13 = 7 THEN NULL ELSE 'db_' || (s_suppkey % 3) END AS database_name,
+       CASE WHEN s_suppkey = 0 THEN 'hub' ELSE 't_' || (s_suppkey * 6) END AS table_name
+FROM supplier
 """
 
 

@@ -86,7 +86,8 @@ def write_audit_log(spark: SparkSession, path: str, records: DataFrame, run: str
 
     A run owns the folder ``run=<name>`` and replaces it, so repeating a run is harmless.
     """
-    new = log_additions(read_audit_log(spark, path, but_not=run), records.select(*LOG_COLUMNS))
+    typed = records.select(*LOG_COLUMNS).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    new = log_additions(read_audit_log(spark, path, but_not=run), typed)
     stamped = new.withColumn("reported_at", F.current_timestamp())
     stamped.write.mode("overwrite").parquet(f"{path}/run={run}")
 
