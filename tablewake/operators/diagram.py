@@ -14,7 +14,7 @@ from .catalog import join_edges_of_tables, partition_columns
 from .closure import EdgeSides, edge_sides
 from .dependents import with_label
 from .masks import by_focus, named_foci, number_foci
-from .spread import listed_text, matched
+from .spread import hot_keys, listed_text, matched, salted
 
 # Bounds of the walk in each direction.
 MIN_DEPTH, MAX_DEPTH, DEFAULT_DEPTH = 1, 4, 2
@@ -134,7 +134,23 @@ def diagram_databases(dag: Dag, edges: DataFrame, tables: DataFrame) -> DataFram
     )
 
 
-def job_flows(edges: DataFrame) -> DataFrame:
+# Reads of one job that one task pairs with the job's writes.
+READS_PER_SALT = 1_000
+
+
+def _paired(source: DataFrame, target: DataFrame, keys: list[str], reads_per_salt: int) -> DataFrame:
+    """Reads joined to writes of the same job; jobs with very many reads are spread by salt.
+
+    The number of pairs grows faster than the rows that go in, so a job is spread long
+    before its rows alone would make a partition large.
+    """
+    hot = hot_keys(source, "job_id", reads_per_salt)
+    spread = salted(source, "job_id", hot, ["source"])
+    pairs = spread.join(matched(target, "job_id", hot), [*keys, "salt"]).drop("salt")
+    return pairs.where("source <> target")
+
+
+def job_flows(edges: DataFrame, reads_per_salt: int = READS_PER_SALT) -> DataFrame:
     """(job_id, source, target) for every table a job reads and every other table it writes.
 
     This product is the result itself; both sides are distinct before they meet.
@@ -142,7 +158,7 @@ def job_flows(edges: DataFrame) -> DataFrame:
     pairs = edges.select("job_id", "table_name", "direction").distinct()
     source = pairs.where("direction = 'read'").selectExpr("job_id", "table_name AS source")
     target = pairs.where("direction = 'write'").selectExpr("job_id", "table_name AS target")
-    return source.join(target, "job_id").where("source <> target")
+    return _paired(source, target, ["job_id"], reads_per_salt)
 
 
 def dag_arrow_jobs(dag: Dag, edges: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -157,7 +173,7 @@ def dag_arrow_jobs(dag: Dag, edges: DataFrame, jobs: DataFrame) -> DataFrame:
     target = merged.where("direction = 'write'").selectExpr(
         "block", "job_id", "table_name AS target", "mask AS target_mask"
     )
-    arrows = source.join(target, ["block", "job_id"]).where("source <> target").selectExpr(
+    arrows = _paired(source, target, ["block", "job_id"], READS_PER_SALT).selectExpr(
         "block", "job_id", "source", "target", "source_mask & target_mask AS mask"
     ).where("mask != 0")
     labelled = with_label(arrows, jobs)

@@ -96,3 +96,11 @@ def test_job_flows(make, rows):
         ("j", "read", "a", "x"), ("j", "read", "b", "x"), ("j", "write", "a", "x"), ("j", "write", "a", "y")
     )
     assert rows(diagram.job_flows(edges)) == [("j", "x", "y")]
+
+
+def test_job_flows_of_a_hot_job(make, rows):
+    edges = [("hot", "read", "a", f"r{i}") for i in range(20)] + [("hot", "write", "a", f"w{i}") for i in range(3)]
+    edges += [("cold", "read", "a", "r1"), ("cold", "write", "a", "w1")]
+    flows = diagram.job_flows(make.edges(*edges), reads_per_salt=4)
+    want = [("hot", f"r{i}", f"w{k}") for i in range(20) for k in range(3)] + [("cold", "r1", "w1")]
+    assert rows(flows, "job_id", "source", "target") == sorted(want)
