@@ -3,36 +3,42 @@
 An iterative walk must not drag the plan of every earlier round behind it, and its state
 must survive the loss of an executor. Each round is therefore written as a Parquet table
 under ``spark.checkpoint.dir`` and read back: fault tolerant, columnar, and with true sizes
-for the next round's join decisions.
+for the next round's join decisions. Without that setting the tables go below
+``spark.sql.warehouse.dir``, which a cluster shares as well; the rule is the same for every
+master. :func:`clear` removes what a session has written once its results have been used.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-_local_root: dict[str, str] = {}
+FALLBACK = "spark.sql.warehouse.dir"
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for local sessions without it."""
-    configured = spark.conf.get(SETTING, None)
-    if configured:
-        return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_root:
-        _local_root[app] = tempfile.mkdtemp(prefix="tablewake-")
-    return _local_root[app]
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder in the shared storage."""
+    shared = spark.conf.get(SETTING, None) or spark.conf.get(FALLBACK)
+    return f"{shared.rstrip('/')}/tablewake-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{checkpoint_root(spark)}/tablewake/{kind}-{uuid4().hex}"
+    return f"{scratch_root(spark)}/{kind}-{uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables of this session. DataFrames that read them end with it."""
+    remove(spark, scratch_root(spark))
 
 
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:

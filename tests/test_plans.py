@@ -12,7 +12,7 @@ from tablewake.operators import dependents as dep
 from tablewake.operators.closure import edge_sides, job_visits, readers, walk
 from tablewake.schemas import INVENTORY
 from tablewake.sources.events import scan_events
-from tablewake.sources.scratch import SETTING, checkpoint_root
+from tablewake.sources.scratch import SETTING, scratch_root
 
 
 def plan(df) -> str:
@@ -61,4 +61,4 @@ def test_no_nested_loop_joins(make, no_broadcast):
 
 
 def test_scratch_tables_live_in_the_configured_folder(spark):
-    assert checkpoint_root(spark) == spark.conf.get(SETTING)
+    assert scratch_root(spark).startswith(spark.conf.get(SETTING) + "/")
