@@ -37,6 +37,7 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM  # the most bytes of a string before its anchor
 SHARD = 2048  # contexts of one gram, and about those of a shard
+BLOCK = 8  # neighbouring strings counted together
 PART = 1 << 18  # windows of a text looked at together
 SEEDS = (101, 202)
 
@@ -186,13 +187,18 @@ def _in_shards(strings: DataFrame) -> DataFrame:
 
 
 def _by_hash(strings: DataFrame) -> DataFrame:
-    """The same for grams with many contexts: strings are counted by their hashes."""
+    """The same for grams with many contexts: strings are counted by their hashes.
+
+    Strings that start side by side are first counted together, as blocks: a block that occurs twice is repeated as
+    a whole. Single strings are counted for the blocks that occur once, and for one of each of the others.
+    """
 
     def windows(batches):
         hashes = [Rolling(s) for s in SEEDS]
         own = Rolling(SEEDS[0])
         for batch in batches:
             u, u2, place, before, alone, raws = (batch.column(i).to_pylist() for i in range(6))
+            out = []
             for i in range(len(raws)):
                 raw = np.frombuffer(raws[i], np.uint8)
                 at = np.arange(len(raw) - LENGTH + 1)
@@ -202,23 +208,40 @@ def _by_hash(strings: DataFrame) -> DataFrame:
                 keys = own.of(own.sums(raw), grams, grams + GRAM) >> np.uint64(20) << np.uint64(20) | grams.astype(np.uint64)
                 anchor = least_of_each(keys, SPAN + 1) & np.uint64((1 << 20) - 1)
                 at = at[anchor == before[i]]  # strings that have this anchor
-                a, b = (h.of(h.sums(raw), at, at + LENGTH).view(np.int64) for h in hashes)
-                n, start = len(at), at + place[i] - before[i]
-                columns = [a, b, np.full(n, u[i]), np.full(n, u2[i], np.int32), start.astype(np.int32), np.full(n, alone[i])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "u", "u2", "start", "alone"])
-
+                sums = [h.sums(raw) for h in hashes]
+                a, b = (h.of(x, at, at + LENGTH).view(np.int64).tolist() for h, x in zip(hashes, sums, strict=True))
+                # Blocks end at fixed distances from the anchor, so equal ones are cut alike.
+                block = (before[i] - at) // BLOCK
+                for k in np.unique(block).tolist():
+                    own_at = np.flatnonzero(block == k)
+                    lo, hi = own_at[0], own_at[-1] + 1
+                    ends = at[lo : lo + 1], at[hi - 1 : hi] + LENGTH
+                    ua, ub = (int(h.of(x, *ends).view(np.int64)[0]) for h, x in zip(hashes, sums, strict=True))
+                    start = place[i] - before[i] + int(at[lo])
+                    out.append((ua, ub ^ int(hi - lo), u[i], u2[i], start, alone[i], a[lo:hi], b[lo:hi]))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, ["ua", "ub", "u", "u2", "start", "alone", "a", "b"])
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     rows = strings.select("u", "u2", "place", "before", "alone", "bytes")
-    rows = cut(rows.mapInArrow(windows, "a long, b long, u long, u2 int, start int, alone boolean"))
+    rows = cut(rows.mapInArrow(windows, "ua long, ub long, u long, u2 int, start int, alone boolean, a array<long>, b array<long>"))
     where = F.struct("u", "u2", "start")
-    twice = rows.groupBy("a", "b").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y").select("a", "b")
-    hit = rows.where("alone").join(twice, ["a", "b"], "left_semi")
-    return hit.select("u", "u2", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end"))
+    blocks = rows.groupBy("ua", "ub").agg(F.min(F.struct("u", "u2", "start", "alone", "a", "b")).alias("x"), F.max(where).alias("y"))
+    once = (F.col("x.u") == F.col("y.u")) & (F.col("x.u2") == F.col("y.u2")) & (F.col("x.start") == F.col("y.start"))
+    blocks = cut(blocks.select("ua", "ub", once.alias("once"), "x.*"))
+    whole = rows.where("alone").join(cut(blocks.where("NOT once").select("ua", "ub")), ["ua", "ub"], "left_semi")
+    whole = whole.select("u", "u2", F.col("start").alias("begin"), (F.col("start") + F.size("a") - 1 + LENGTH).alias("end"))
+    single = blocks.select("u", "u2", "start", (F.col("alone") & F.col("once")).alias("open"), F.posexplode(F.arrays_zip("a", "b")).alias("k", "h"))
+    single = cut(single.select("h.a", "h.b", "u", "u2", (F.col("start") + F.col("k")).alias("start"), "open"))
+    twice = single.groupBy("a", "b").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y").select("a", "b")
+    hit = single.where("open").join(cut(twice), ["a", "b"], "left_semi")
+    return whole.union(hit.select("u", "u2", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
 
 
 def repeated_runs(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(u, u2, begin, end): runs of bytes that are covered by repeated strings, from ``docs`` (row_key, u, u2, text)."""
     rows = cut(anchor_rows(docs))
-    often = rows.groupBy("gram").count().where("count > 1").select("gram")
+    often = cut(rows.groupBy("gram").count().where("count > 1").select("gram"))
     rows = cut(rows.join(often, "gram", "left_semi"))
     where = F.struct("u", "u2", "place")
     contexts = rows.groupBy("gram", "context").agg(F.min(where).alias("x"), F.max(where).alias("y"))
