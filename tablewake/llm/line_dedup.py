@@ -170,11 +170,11 @@ def drop_lines(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     lines, n_lines = cut_counted(line_hashes(docs))
     lost = lost_keys(lines, n_lines).withColumn("key", F.struct("h", "f")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    lost = cut(lost.select(F.col("doc_id").alias("its_id"), F.col("keys.h").alias("hs"), F.col("keys.f").alias("fs")))
+    lost = cut(lost.select(F.col("doc_id").alias("__lost_id"), F.col("keys.h").alias("__lost_h"), F.col("keys.f").alias("__lost_f")))
     added = {"n_lines": "bigint", "n_dropped": "bigint"}
     rows = docs.select(F.col("doc_id").cast("long"), "text") if digest else docs.drop(*added)
     kept = rows.columns
-    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("its_id")), "left").select(*kept, "hs", "fs")
+    rows = rows.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").select(*kept, "__lost_h", "__lost_f")
     at = kept.index("text")
 
     def run(batches):

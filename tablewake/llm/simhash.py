@@ -144,8 +144,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    groups = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups.withColumnRenamed("doc_id", "its_id"), docs["doc_id"] == F.col("its_id"), "left_anti")
+    groups = cut(near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(groups, docs["doc_id"] == groups["doc_id"], "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
