@@ -32,7 +32,7 @@ def is_json_string(value: Column) -> Column:
 
 
 def is_json_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def packed(columns: Sequence[str], json_columns: Sequence[str]) -> Column:

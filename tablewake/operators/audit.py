@@ -29,7 +29,8 @@ def since(events: DataFrame, event_name: str, start: Column) -> DataFrame:
 
 def deletions_since(events: DataFrame, start: Column) -> DataFrame:
     """Single deletions and batch deletions in the look-back window."""
-    return since(events, DELETE_TABLE, start).unionByName(since(events, BATCH_DELETE_TABLE, start))
+    names = F.col("event_name").isin(DELETE_TABLE, BATCH_DELETE_TABLE)
+    return events.where(names & (F.col("event_time") >= start))
 
 
 def request_parameters(payload: Column) -> Column:
@@ -196,14 +197,10 @@ def last_per_key(records: DataFrame) -> DataFrame:
 def audit_records(deletions: DataFrame, edges: DataFrame, join_edges: DataFrame) -> DataFrame:
     """Records for the log. ``flagged`` is decided per (event id, table), any database."""
     flagged = flag_deletions(deletions, edges, join_edges)
-    any_flag = flagged.groupBy("event_id", "table_name").agg(F.max("flagged").alias("any_flagged"))
-    return (
-        last_per_key(flagged.drop("flagged"))
-        .join(any_flag, ["event_id", "table_name"])
-        .selectExpr(
-            "event_id", "database_name", "table_name", "event_name", "event_time", "username",
-            "region", "any_flagged AS flagged",
-        )
+    fields = ("database_name", "event_name", "event_time", "username", "region")
+    latest = F.max_by(F.struct(*fields), arrival())
+    return flagged.groupBy("event_id", "table_name").agg(latest.alias("r"), F.max("flagged").alias("flagged")).selectExpr(
+        "event_id", "r.database_name", "table_name", "r.event_name", "r.event_time", "r.username", "r.region", "flagged"
     )
 
 

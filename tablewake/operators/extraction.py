@@ -60,13 +60,10 @@ def cache_key(
 
 
 def stale_jobs(fresh: DataFrame, cached: DataFrame) -> DataFrame:
-    """Jobs whose fresh cache key is new or differs from the stored one."""
+    """Jobs whose fresh cache key is new or differs from the stored one, each once."""
     stored = cached.select("job_id", F.col("cache_key").alias("stored_key"))
-    return (
-        fresh.join(stored, "job_id", "left")
-        .where("NOT (cache_key <=> stored_key)")
-        .select("job_id", "cache_key")
-    )
+    same = (fresh["job_id"] == stored["job_id"]) & fresh["cache_key"].eqNullSafe(stored["stored_key"])
+    return fresh.join(stored, same, "left_anti").select("job_id", "cache_key").distinct()
 
 
 def render_prompt(jobs: DataFrame, files: DataFrame, part_bytes: int = BYTES_PER_PART) -> DataFrame:

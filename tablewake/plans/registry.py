@@ -374,7 +374,7 @@ URIS_SQL = """raw AS (
          CASE WHEN json_valid(default_arguments) THEN json_extract_string(default_arguments, '$."--extra-py-files"') END AS extra
   FROM lk_glue_jobs),
 cleaned AS (
-  SELECT name, list_filter(list_transform(list_concat([script], string_split(coalesce(extra, ''), ',')), lambda u: trim(u)),
+  SELECT name, list_filter(list_transform(list_concat([script], string_split(coalesce(extra, ''), ',')), lambda u: regexp_replace(u, '^[\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x{85}]+|[\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x{85}]+$', '', 'g')),
                            lambda u: u <> '') AS uris FROM raw),
 uris AS (SELECT name, unnest(uris) AS uri, generate_subscripts(uris, 1) - 1 AS position FROM cleaned),
 arts AS (

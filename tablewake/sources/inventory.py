@@ -69,11 +69,15 @@ def normalized_jobs(glue_jobs: DataFrame, lambda_functions: DataFrame) -> DataFr
     return job_rows(glue_jobs, "glue").unionByName(job_rows(lambda_functions, "lambda"))
 
 
+#: White space of any kind at the ends of a text.
+OUTER_SPACE = r"^[\p{Z}\x09-\x0D\x1C-\x1F\x{85}]+|[\p{Z}\x09-\x0D\x1C-\x1F\x{85}]+$"
+
+
 def script_uris(glue_jobs: DataFrame) -> DataFrame:
     """(name, position, uri): the script, then the extra files; blanks are dropped."""
     extras = F.split(F.coalesce(text_field(F.col("default_arguments"), EXTRA_FILES), F.lit("")), ",")
     uris = F.concat(F.array(text_field(F.col("command"), SCRIPT_LOCATION)), extras)
-    cleaned = F.filter(F.transform(uris, lambda u: F.trim(u)), lambda u: F.coalesce(u != "", F.lit(False)))
+    cleaned = F.filter(F.transform(uris, lambda u: F.regexp_replace(u, OUTER_SPACE, "")), lambda u: F.coalesce(u != "", F.lit(False)))
     return glue_jobs.select("name", F.posexplode(cleaned).alias("position", "uri"))
 
 

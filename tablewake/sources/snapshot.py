@@ -14,11 +14,18 @@ LOG_COLUMNS = (
 )
 
 
+def _absent(error: AnalysisException) -> bool:
+    """Only a missing path means that nothing has been written yet; any other error must not pass for that."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def current_snapshot(spark: SparkSession, root: str) -> int | None:
     """Number of the newest complete snapshot, or None when there is none."""
     try:
         markers = spark.read.schema("snapshot bigint").json(f"{root}/{MARKER}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
         return None
     return markers.agg(F.max("snapshot")).first()[0]
 
@@ -75,7 +82,9 @@ def read_audit_log(spark: SparkSession, path: str, but_not: str | None = None) -
     """The log of all runs, or of all but one."""
     try:
         log = spark.read.schema(f"{AUDIT_LOG}, run string").parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
         log = spark.createDataFrame([], f"{AUDIT_LOG}, run string")
     kept = log if but_not is None else log.where(F.col("run") != but_not)
     return kept.drop("run")

@@ -123,3 +123,9 @@ def test_uris_and_ignored_jobs(make, rows):
     assert rows(jobs.where(paths.is_ignored_job(F.col("name")))) == [("MyStack-LogRetention1",)]
     assert jobs.where(paths.is_ignored_job(F.col("name"), "")).count() == 0
     assert rows(jobs.where(paths.is_ignored_job(F.col("name"), "tl$"))) == [("etl",)]
+
+
+def test_script_uris_lose_white_space_of_any_kind(spark, rows):
+    arguments = '{"--extra-py-files": " s3://b/x.py,\\\\n s3://b/y.py\\\\t,\\\\r\\\\n"}'.replace("\\\\", "\\")
+    glue = spark.createDataFrame([("j", '{"ScriptLocation": "s3://b/main.py\\n"}', arguments)], "name string, command string, default_arguments string")
+    assert rows(inventory.script_uris(glue), "position", "uri") == [(0, "s3://b/main.py"), (1, "s3://b/x.py"), (2, "s3://b/y.py")]
