@@ -9,7 +9,7 @@ from ..functions.documents import decoded, is_json_object, is_json_string
 from ..functions.names import known_database, table_key
 from ..functions.paths import is_ignored_table
 from .dependents import with_dependents_flag
-from .spread import listed, listed_text
+from .spread import listed
 
 # The event source and names of table deletions.
 EVENT_SOURCE = "glue.amazonaws.com"
@@ -27,10 +27,14 @@ def since(events: DataFrame, event_name: str, start: Column) -> DataFrame:
     return events.where((F.col("event_name") == event_name) & (F.col("event_time") >= start))
 
 
+def deletion_events(events: DataFrame) -> DataFrame:
+    """Single deletions and batch deletions; the condition reaches the scan."""
+    return events.where(F.col("event_name").isin(DELETE_TABLE, BATCH_DELETE_TABLE))
+
+
 def deletions_since(events: DataFrame, start: Column) -> DataFrame:
     """Single deletions and batch deletions in the look-back window."""
-    names = F.col("event_name").isin(DELETE_TABLE, BATCH_DELETE_TABLE)
-    return events.where(names & (F.col("event_time") >= start))
+    return deletion_events(events).where(F.col("event_time") >= start)
 
 
 def request_parameters(payload: Column) -> Column:
@@ -149,20 +153,14 @@ def deletion_actors(flagged: DataFrame) -> DataFrame:
 
 
 def deletion_span(flagged: DataFrame) -> DataFrame:
-    """First and last time and the sorted regions per deleted table."""
-    keys = ["database_name", "table_name"]
-    times = flagged.groupBy(*keys).agg(
-        F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time")
-    )
-    regions = listed_text(flagged.where("region <> ''"), keys, "region", "regions").drop("part")
-    renamed = regions.selectExpr(
-        "database_name AS region_database", "table_name AS region_table", "regions"
+    """First and last time and the sorted regions per deleted table.
+
+    Regions are names of data centres: a set of them is small however many deletions a table has.
+    """
+    regions = F.array_join(F.array_sort(F.collect_set(F.nullif("region", F.lit("")))), ", ")
+    return flagged.groupBy("database_name", "table_name").agg(
+        F.min("event_time").alias("first_time"), F.max("event_time").alias("last_time"), regions.alias("regions")
     )
-    return times.join(
-        renamed,
-        F.expr("table_name = region_table AND database_name <=> region_database"),
-        "left",
-    ).select(*keys, "first_time", "last_time", F.coalesce("regions", F.lit("")).alias("regions"))
 
 
 def audit_totals(split: DataFrame, log: DataFrame, edges: DataFrame, join_edges: DataFrame) -> DataFrame:
@@ -205,10 +203,9 @@ def audit_records(deletions: DataFrame, edges: DataFrame, join_edges: DataFrame)
 
 
 def finding_lines(flagged: DataFrame, time_format: str = "yyyy-MM-dd'T'HH:mm:ss") -> DataFrame:
-    """Head lines of each finding: (database_name, table_name, section, line).
+    """Head lines of each finding: (database_name, table_name, section, part, line).
 
-    Actors are in order of their first event; a table with very many actors continues its
-    line in further parts.
+    Actors are in order of their first event; each page of them (``part``) has a line.
     """
     keys = ["database_name", "table_name"]
     actors = deletion_actors(flagged).withColumn(
@@ -227,9 +224,9 @@ def finding_lines(flagged: DataFrame, time_format: str = "yyyy-MM-dd'T'HH:mm:ss"
         F.expr("table_name = t AND database_name <=> d"),
     )
     name = table_key(F.col("database_name"), F.col("table_name"))
-    title = totals.select(*keys, F.lit(0).alias("section"), F.concat(F.lit("DELETED WITH DEPENDENTS: "), name).alias("line"))
+    title = totals.select(*keys, F.lit(0).alias("section"), F.lit(0).alias("part"), F.concat(F.lit("DELETED WITH DEPENDENTS: "), name).alias("line"))
     actor_lines = counted.select(
-        *keys, F.lit(1).alias("section"),
+        *keys, F.lit(1).alias("section"), "part",
         F.format_string("  %d deletion(s): %s", "n_events", "actors").alias("line"),
     )
     spans = deletion_span(flagged).where("first_time IS NOT NULL").select(
@@ -238,9 +235,9 @@ def finding_lines(flagged: DataFrame, time_format: str = "yyyy-MM-dd'T'HH:mm:ss"
         F.date_format("last_time", time_format).alias("last"),
     )
     span_lines = spans.selectExpr(
-        *keys, "2 AS section",
+        *keys, "2 AS section", "0 AS part",
         """concat('  when: ', if(first = last, first, concat(first, ' to ', last)),
                   if(regions <> '', concat(' (', regions, ')'), '')) AS line""",
     )
-    blank = totals.select(*keys, F.lit(3).alias("section"), F.lit("").alias("line"))
+    blank = totals.select(*keys, F.lit(3).alias("section"), F.lit(0).alias("part"), F.lit("").alias("line"))
     return title.unionByName(actor_lines).unionByName(span_lines).unionByName(blank)

@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import BYTES_PER_PART, ITEMS_PER_PART, listed
+from .spread import ITEMS_PER_PART, listed
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -29,33 +29,24 @@ JOIN_EDGE_TEXTS = ("left_table", "left_column", "right_table", "right_column", "
 NUL = "\u0000"
 
 
-def cache_key(
-    files: DataFrame, prompt_version: str, model: str, part_items: int = ITEMS_PER_PART
-) -> DataFrame:
+def cache_key(files: DataFrame, prompt_version: str, model: str, part_items: int = ITEMS_PER_PART) -> DataFrame:
     """(job_id, cache_key): SHA-256 over version, model and each file's path and content hash.
 
-    Contents are hashed where they are read; only (path, hash) pairs are shuffled. A job with
-    more than ``part_items`` files is hashed in parts, and its key is the hash of those.
+    Contents are hashed where they are read; only (path, hash) pairs are shuffled. They are hashed in path order
+    and in pages of ``part_items`` files: the key of one page is the hash of head and page, that of several the hash
+    of head and page hashes.
     """
     hashed = files.select("job_id", F.struct("path", F.sha2("contents", 256).alias("hash")).alias("file"))
-    parts = listed(hashed, ["job_id"], "file", part_weight=part_items)
     head = F.lit(f"{prompt_version}{NUL}{model}{NUL}")
-    texts = F.transform("items", lambda f: F.concat(f["path"], F.lit(NUL), f["hash"], F.lit(NUL)))
-    body = F.array_join(texts, "")
-    hashes = parts.select(
-        "job_id", "n_parts", F.col("part"),
-        F.when(F.col("n_parts") == 1, F.sha2(F.concat(head, body), 256))
-        .otherwise(F.sha2(body, 256)).alias("digest"),
-    )
-    merged = hashes.groupBy("job_id", "n_parts").agg(
-        F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("parts")
-    )
-    combined = F.sha2(
-        F.concat(head, F.array_join(F.transform("parts", lambda p: p["digest"]), NUL)), 256
+    body = F.array_join(F.transform("items", lambda f: F.concat(f["path"], F.lit(NUL), f["hash"], F.lit(NUL))), "")
+    pages = listed(hashed, ["job_id"], "file", page=part_items).select(
+        "job_id",
+        F.struct("part", F.sha2(body, 256).alias("digest"), F.sha2(F.concat(head, body), 256).alias("only")).alias("page"),
     )
+    merged = pages.groupBy("job_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    combined = F.sha2(F.concat(head, F.array_join(F.transform("pages", lambda p: p["digest"]), NUL)), 256)
     return merged.select(
-        "job_id",
-        F.when(F.col("n_parts") == 1, F.col("parts")[0]["digest"]).otherwise(combined).alias("cache_key"),
+        "job_id", F.when(F.size("pages") == 1, F.col("pages")[0]["only"]).otherwise(combined).alias("cache_key")
     )
 
 
@@ -66,31 +57,23 @@ def stale_jobs(fresh: DataFrame, cached: DataFrame) -> DataFrame:
     return fresh.join(stored, same, "left_anti").select("job_id", "cache_key").distinct()
 
 
-def render_prompt(jobs: DataFrame, files: DataFrame, part_bytes: int = BYTES_PER_PART) -> DataFrame:
-    """(job_id, name, part, content): a job's header and files, in path order.
+def render_prompt(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """(job_id, name, part, content): one prompt per job, its header and all its files in path order.
 
-    Whole files always; a job whose files exceed ``part_bytes`` gets several parts, each
-    with the header.
+    A prompt is the argument of one extractor call, so a job's files meet in one row; ``part`` is always 0.
     """
-    wrapped = files.select(
-        "job_id",
-        F.struct(
-            "path",
-            F.concat(
-                F.lit("<file path="), "path", F.lit(">\n"), "contents", F.lit("\n</file>")
-            ).alias("text"),
-        ).alias("file"),
+    wrapped = F.concat(F.lit("<file path="), "path", F.lit(">\n"), "contents", F.lit("\n</file>"))
+    bodies = files.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct("path", wrapped.alias("text")))).alias("files")
     )
-    size = F.octet_length("file.text").cast("bigint")
-    parts = listed(wrapped, ["job_id"], "file", weight=size, part_weight=part_bytes)
-    body = F.array_join(F.transform("items", lambda f: f["text"]), "\n\n")
     header = F.concat(
         F.lit("job name: "), "name", F.lit("\njob type: "), "type", F.lit("\nruntime: "),
         F.coalesce(F.nullif("runtime", F.lit("")), F.lit("unknown")),
     )
     known = jobs.select(F.col("id").alias("job_id"), "name", header.alias("header"))
-    return parts.select("job_id", "part", body.alias("body")).join(known, "job_id").select(
-        "job_id", "name", "part", F.concat_ws("\n\n", "header", "body").alias("content")
+    body = F.array_join(F.transform("files", lambda f: f["text"]), "\n\n")
+    return bodies.join(known, "job_id").select(
+        "job_id", "name", F.lit(0).alias("part"), F.concat_ws("\n\n", "header", body).alias("content")
     )
 
 
@@ -240,10 +223,9 @@ def fixture_extractions(jobs: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 
 def missing_fixtures(jobs: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Jobs without a canned extraction."""
-    return jobs.select(F.col("id").alias("job_id"), "name").join(
-        fixtures.select("name"), "name", "left_anti"
-    )
+    """Jobs without a canned extraction: (job_id, name)."""
+    rows = jobs.select(F.col("id").alias("job_id"), "name")
+    return rows.join(fixtures.select("name"), "name", "left_anti").select("job_id", "name")
 
 
 def rehomed(rows: DataFrame, old_jobs: DataFrame, new_jobs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit
@@ -23,12 +23,18 @@ class AuditRun:
     records: DataFrame
 
 
+def look_back(events: DataFrame, hours: int = 24, now: Column | None = None) -> DataFrame:
+    """Deletion events of the last ``hours`` before ``now`` (the clock, by default)."""
+    clock = F.current_timestamp() if now is None else now
+    return audit.deletions_since(events, clock - F.make_dt_interval(hours=F.lit(hours)))
+
+
 def findings(
     events: DataFrame, log: DataFrame, edges: DataFrame, join_edges: DataFrame,
-    ignore_tables: str | None = None, show_all: bool = False,
+    ignore_tables: str | None = None, show_all: bool = False, hours: int = 24, now: Column | None = None,
 ) -> DataFrame:
-    """Flagged deletions of the events, ignored tables and (by default) seen events left out."""
-    deletions = audit.kept(audit.parse_deletions(events), ignore_tables)
+    """Flagged deletions of the look-back, ignored tables and (by default) seen events left out."""
+    deletions = audit.kept(audit.parse_deletions(look_back(events, hours, now)), ignore_tables)
     fresh = deletions if show_all else audit.new_events(deletions, log)
     return audit.flagged_deletions(fresh, edges, join_edges)
 
@@ -55,7 +61,8 @@ def report_lines(
     )
     empty = F.lit("")
     heads = audit.finding_lines(flagged).select(
-        "database_name", "table_name", "section", empty.alias("rank_a"), empty.alias("rank_b"), "line"
+        "database_name", "table_name", "section", F.lpad(F.col("part").cast("string"), 10, "0").alias("rank_a"),
+        empty.alias("rank_b"), "line",
     )
     reports = dependents_reports(
         grouped.select("database_name", "table_name"), edges, join_edges, jobs, tables
@@ -97,11 +104,24 @@ REPORT_ORDER = ("finding_rank", "database_name", "table_name", "section", "rank_
 
 
 def audit_run(
+    events: DataFrame, log: DataFrame, edges: DataFrame, join_edges: DataFrame,
+    jobs: DataFrame, tables: DataFrame, hours: int = 24,
+    ignore_tables: str | None = None, show_all: bool = False, now: Column | None = None,
+) -> AuditRun:
+    """The audit of the last ``hours`` before ``now`` (the clock, by default)."""
+    window = look_back(events, hours, now)
+    return audit_landed(window, log, edges, join_edges, jobs, tables, hours, ignore_tables, show_all)
+
+
+def audit_landed(
     events: DataFrame, log: DataFrame, edges: DataFrame, join_edges: DataFrame,
     jobs: DataFrame, tables: DataFrame, hours: int = 24,
     ignore_tables: str | None = None, show_all: bool = False,
 ) -> AuditRun:
-    """Parse, filter, flag, group and print; records are for new events only."""
+    """Parse, filter, flag, group and print all given events; records are for new events only.
+
+    ``hours`` is what the headline says.
+    """
     split = audit.split_ignored(audit.parse_deletions(events), ignore_tables)
     deletions = split.where("NOT ignored").drop("ignored")
     fresh = audit.new_events(deletions, log)

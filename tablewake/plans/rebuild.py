@@ -28,8 +28,15 @@ def by_extractor(extractor: ex.Extractor, parallelism: int = 8) -> EdgeSource:
 
 
 def by_fixture(fixtures: DataFrame) -> EdgeSource:
-    """Canned extractions (name, extraction)."""
-    return lambda jobs, prompts: ex.fixture_extractions(jobs, fixtures)
+    """Canned extractions (name, extraction). A job without one counts as invalid output, so it is rejected."""
+
+    def run(jobs: DataFrame, prompts: DataFrame) -> DataFrame:
+        missing = ex.missing_fixtures(jobs, fixtures).selectExpr(
+            "job_id", "name", "0 AS part", "CAST(NULL AS STRING) AS extraction", "false AS valid"
+        )
+        return ex.fixture_extractions(jobs, fixtures).unionByName(missing)
+
+    return run
 
 
 def sync_edges(

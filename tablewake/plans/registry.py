@@ -20,7 +20,7 @@ from ..operators import dependents as dep
 from ..operators import extraction as ex
 from ..operators.closure import walk
 from ..operators.masks import named_foci
-from ..operators.spread import listed_text
+from ..operators.spread import ITEMS_PER_PART, listed_text
 from ..sources import code, inventory, snapshot
 from ..sources.scratch import cut, new_path
 from ..streaming import deletions as stream
@@ -53,6 +53,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: The audit's clock and look-back; it begins at START.
+HOURS = 408
+NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def page_of(keys: str, item: str) -> str:
+    """SQL of ``part``: the page of an item in the ordered list of its group."""
+    return f"CAST((row_number() OVER (PARTITION BY {keys} ORDER BY {item}) - 1) // {ITEMS_PER_PART} AS INTEGER) AS part"
+
+
+def now() -> F.Column:
+    return F.expr("CAST('2024-02-01 00:00:00' AS TIMESTAMP_NTZ)")
+
+
 def start() -> F.Column:
     return F.expr("CAST('2024-01-15 00:00:00' AS TIMESTAMP_NTZ)")
 
@@ -917,9 +931,10 @@ def check_constraints(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "table_readers_writers",
-    """SELECT table_name, direction, 0 AS part, string_agg(label, ', ' ORDER BY label) AS labels
-       FROM (SELECT DISTINCT e.table_name, e.direction, j.type || ': ' || j.name AS label
-             FROM lk_edges AS e JOIN lk_jobs AS j ON j.id = e.job_id) AS x GROUP BY 1, 2""",
+    f"""SELECT table_name, direction, part, string_agg(label, ', ' ORDER BY label) AS labels
+        FROM (SELECT *, {page_of('table_name, direction', 'label')} FROM (
+              SELECT DISTINCT e.table_name, e.direction, j.type || ': ' || j.name AS label
+              FROM lk_edges AS e JOIN lk_jobs AS j ON j.id = e.job_id) AS x) AS y GROUP BY 1, 2, 3""",
 )
 def table_readers_writers(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.table_readers_writers(view(spark, sf, "lk_edges"), view(spark, sf, "lk_jobs"))
@@ -972,9 +987,10 @@ def audit_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "tables_by_database",
-    """SELECT coalesce(d.name, t.database_name) AS database_name, 0 AS part, coalesce(t.tables, '') AS tables
-       FROM lk_databases AS d FULL JOIN (SELECT database_name, string_agg(name, ', ' ORDER BY name) AS tables
-         FROM (SELECT DISTINCT database_name, name FROM lk_tables) AS x GROUP BY 1) AS t ON t.database_name = d.name""",
+    f"""SELECT coalesce(d.name, t.database_name) AS database_name, coalesce(t.part, 0) AS part, coalesce(t.tables, '') AS tables
+        FROM lk_databases AS d FULL JOIN (SELECT database_name, part, string_agg(name, ', ' ORDER BY name) AS tables
+          FROM (SELECT *, {page_of('database_name', 'name')} FROM (SELECT DISTINCT database_name, name FROM lk_tables) AS x) AS y
+          GROUP BY 1, 2) AS t ON t.database_name = d.name""",
 )
 def tables_by_database(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.tables_by_database(view(spark, sf, "lk_databases"), view(spark, sf, "lk_tables"))
@@ -982,10 +998,10 @@ def tables_by_database(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merge_arrow_jobs",
-    """SELECT source, target, 0 AS part, string_agg(label, ', ' ORDER BY label) AS jobs FROM (
+    f"""SELECT source, target, part, string_agg(label, ', ' ORDER BY label) AS jobs FROM (SELECT *, {page_of('source, target', 'label')} FROM (
          SELECT DISTINCT r.table_name AS source, w.table_name AS target, coalesce(j.type || ': ' || j.name, r.job_id) AS label
          FROM lk_edges AS r JOIN lk_edges AS w ON w.job_id = r.job_id AND r.direction = 'read' AND w.direction = 'write'
-         LEFT JOIN lk_jobs AS j ON j.id = r.job_id WHERE r.table_name <> w.table_name) AS x GROUP BY 1, 2""",
+         LEFT JOIN lk_jobs AS j ON j.id = r.job_id WHERE r.table_name <> w.table_name) AS x) AS y GROUP BY 1, 2, 3""",
 )
 def merge_arrow_jobs(spark: SparkSession, sf: str) -> DataFrame:
     flows = dep.with_label(diagram.job_flows(view(spark, sf, "lk_edges")), view(spark, sf, "lk_jobs"))
@@ -997,8 +1013,9 @@ ERD = cs.erd(WATCH)
 
 @query(
     "erd_join_columns",
-    f"""WITH {ERD} SELECT f.fdb AS focus_database, f.ft AS focus_table, c.t AS table_name, 0 AS part,
-        string_agg(c.column_name, ', ' ORDER BY c.column_name) AS columns FROM cols AS c JOIN f USING (fid) GROUP BY 1, 2, 3""",
+    f"""WITH {ERD} SELECT f.fdb AS focus_database, f.ft AS focus_table, c.t AS table_name, c.part,
+        string_agg(c.column_name, ', ' ORDER BY c.column_name) AS columns
+        FROM (SELECT *, {page_of('fid, t', 'column_name')} FROM cols) AS c JOIN f USING (fid) GROUP BY 1, 2, 3, 4""",
 )
 def erd_join_columns(spark: SparkSession, sf: str) -> DataFrame:
     return diagram.erd_join_columns(*_erd_inputs(spark, sf))
@@ -1124,13 +1141,14 @@ def diagram_databases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dag_arrows",
-    f"""WITH {cs.dag(WATCH)} SELECT f.fdb AS focus_database, f.ft AS focus_table, x.source_key, x.target_key, 0 AS part, x.jobs
-        FROM (SELECT fid, source_key, target_key, string_agg(label, ', ' ORDER BY label) AS jobs FROM (
+    f"""WITH {cs.dag(WATCH)} SELECT f.fdb AS focus_database, f.ft AS focus_table, x.source_key, x.target_key, x.part, x.jobs
+        FROM (SELECT fid, source_key, target_key, part, string_agg(label, ', ' ORDER BY label) AS jobs
+          FROM (SELECT *, {page_of('fid, source_key, target_key', 'label')} FROM (
           SELECT DISTINCT r.fid, {cs.table_key('a.db', 'a.t')} AS source_key, {cs.table_key('b.db', 'b.t')} AS target_key,
                  coalesce(j.type || ': ' || j.name, r.job_id) AS label
           FROM de AS r JOIN de AS w ON w.fid = r.fid AND w.job_id = r.job_id AND r.direction = 'read' AND w.direction = 'write' AND r.t <> w.t
           JOIN dd AS a ON a.fid = r.fid AND a.t = r.t JOIN dd AS b ON b.fid = w.fid AND b.t = w.t
-          LEFT JOIN lk_jobs AS j ON j.id = r.job_id) AS y GROUP BY 1, 2, 3) AS x JOIN f USING (fid)""",
+          LEFT JOIN lk_jobs AS j ON j.id = r.job_id) AS y) AS z GROUP BY 1, 2, 3, 4) AS x JOIN f USING (fid)""",
 )
 def dag_arrows(spark: SparkSession, sf: str) -> DataFrame:
     edges = view(spark, sf, "lk_edges")
@@ -1170,20 +1188,22 @@ def delete_verdict(spark: SparkSession, sf: str) -> DataFrame:
                 FROM fe JOIN keyed AS a ON a.fid = fe.fid AND a.t = fe.left_table
                 JOIN keyed AS b ON b.fid = fe.fid AND b.t = fe.right_table LEFT JOIN lk_jobs AS j ON j.id = fe.job_id)
         SELECT f.fdb AS focus_database, f.ft AS focus_table, 'arrow' AS kind, left_key, left_column, right_key, right_column,
-               string_agg(label, ', ' ORDER BY label) AS detail FROM lab JOIN f USING (fid) GROUP BY 1, 2, 3, 4, 5, 6, 7
-        UNION ALL SELECT f.fdb, f.ft, 'partition', p.t, p.column_name, NULL, NULL, CAST(p.position AS VARCHAR) FROM parts AS p JOIN f USING (fid)
-        UNION ALL SELECT f.fdb, f.ft, 'column', c.t, c.column_name, NULL, NULL, NULL FROM cols AS c JOIN f USING (fid)""",
+               part, string_agg(label, ', ' ORDER BY label) AS detail
+        FROM (SELECT *, {page_of('fid, left_key, left_column, right_key, right_column', 'label')} FROM lab) AS p JOIN f USING (fid)
+        GROUP BY 1, 2, 3, 4, 5, 6, 7, 8
+        UNION ALL SELECT f.fdb, f.ft, 'partition', p.t, p.column_name, NULL, NULL, 0, CAST(p.position AS VARCHAR) FROM parts AS p JOIN f USING (fid)
+        UNION ALL SELECT f.fdb, f.ft, 'column', c.t, c.column_name, NULL, NULL, 0, NULL FROM cols AS c JOIN f USING (fid)""",
 )
 def join_diagram(spark: SparkSession, sf: str) -> DataFrame:
     foci, joins, tables = _erd_inputs(spark, sf)
     arrows = diagram.erd_arrows(foci, joins, view(spark, sf, "lk_jobs"), tables).selectExpr(
         "focus_database", "focus_table", "'arrow' AS kind", "left_key", "left_column", "right_key",
-        "right_column", "jobs AS detail",
+        "right_column", "part", "jobs AS detail",
     )
     rows = diagram.erd_rows(foci, joins, tables).selectExpr(
         "focus_database", "focus_table", "if(is_partition, 'partition', 'column') AS kind",
         "table_name AS left_key", "column_name AS left_column", "CAST(NULL AS STRING) AS right_key",
-        "CAST(NULL AS STRING) AS right_column", "CAST(position AS STRING) AS detail",
+        "CAST(NULL AS STRING) AS right_column", "0 AS part", "CAST(position AS STRING) AS detail",
     )
     return arrows.unionByName(rows)
 
@@ -1268,14 +1288,33 @@ def audit_records(spark: SparkSession, sf: str) -> DataFrame:
     return audit.audit_records(_fresh(spark, sf), *_edges(spark, sf))
 
 
-@query("audit_findings", f"{RECORDS_SQL} SELECT {DELETION_COLUMNS} FROM flagged")
-def audit_findings(spark: SparkSession, sf: str) -> DataFrame:
+WINDOW_SQL = RECORDS_SQL.replace(
+    "FROM lk_events WHERE",
+    f"FROM lk_events WHERE event_name IN ('DeleteTable', 'BatchDeleteTable') AND event_time >= {NOW} - INTERVAL {HOURS} HOUR AND",
+)
+
+
+def _findings(spark: SparkSession, sf: str, show_all: bool) -> DataFrame:
     return audit_run.findings(
-        view(spark, sf, "lk_events"), view(spark, sf, "lk_seen"), *_edges(spark, sf), IGNORE_TABLES
+        view(spark, sf, "lk_events"), view(spark, sf, "lk_seen"), *_edges(spark, sf), IGNORE_TABLES, show_all, HOURS, now()
     )
 
 
-FINDING_LINES = f"""{RECORDS_SQL}, heads AS (
+@query("audit_findings", f"{WINDOW_SQL} SELECT {DELETION_COLUMNS} FROM flagged")
+def audit_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _findings(spark, sf, show_all=False)
+
+
+@query(
+    "audit_findings_all",
+    WINDOW_SQL.replace("WHERE event_id NOT IN (SELECT event_id FROM lk_seen)", "") + f" SELECT {DELETION_COLUMNS} FROM flagged",
+)
+def audit_findings_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the look-back whether or not they were reported before."""
+    return _findings(spark, sf, show_all=True)
+
+
+FINDING_LINES = f"""{WINDOW_SQL}, heads AS (
   SELECT database_name, table_name, 0 AS section, 'DELETED WITH DEPENDENTS: ' || {cs.table_key('database_name', 'table_name')} AS line
   FROM flagged GROUP BY database_name, table_name
   UNION ALL
@@ -1292,15 +1331,16 @@ FINDING_LINES = f"""{RECORDS_SQL}, heads AS (
   UNION ALL SELECT database_name, table_name, 3, '' FROM flagged GROUP BY database_name, table_name)"""
 
 
-@query(
-    "format_findings",
-    FINDING_LINES + ", " + cs.reports("SELECT database_name, table_name FROM flagged") + """
+REPORT_LINES = FINDING_LINES + ", " + cs.reports("SELECT database_name, table_name FROM flagged") + f""", report AS (
     SELECT section, line FROM heads UNION ALL SELECT section + 10, line FROM lines
     UNION ALL SELECT 99, '' FROM f
-    UNION ALL SELECT 0, 'audit: ' || (SELECT count(*) FROM fresh) || ' glue deletion(s) in the last 24h, '
+    UNION ALL SELECT 0, 'audit: ' || (SELECT count(*) FROM fresh) || ' glue deletion(s) in the last {HOURS}h, '
       || (SELECT count(*) FROM f) || ' table(s) deleted with dependents'
-    UNION ALL SELECT 0, '' """,
-)
+    UNION ALL SELECT 0, ''
+    UNION ALL SELECT 0, 'none had dependents' WHERE NOT EXISTS (SELECT 1 FROM flagged))"""
+
+
+@query("format_findings", f"{REPORT_LINES} SELECT section, line FROM report")
 def format_findings(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).lines.select("section", "line")
 
@@ -1309,18 +1349,14 @@ def _audit(spark: SparkSession, sf: str) -> audit_run.AuditRun:
     edges, joins = _edges(spark, sf)
     return audit_run.audit_run(
         view(spark, sf, "lk_events"), view(spark, sf, "lk_seen"), edges, joins,
-        view(spark, sf, "lk_jobs"), view(spark, sf, "lk_tables"), 24, IGNORE_TABLES,
+        view(spark, sf, "lk_jobs"), view(spark, sf, "lk_tables"), HOURS, IGNORE_TABLES, now=now(),
     )
 
 
-@query(
-    "write_audit_report",
-    f"""{FINDING_LINES} SELECT line FROM heads""",
-)
+@query("write_audit_report", f"{REPORT_LINES} SELECT line FROM report")
 def write_audit_report(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "report")
-    lines = audit.finding_lines(_flagged(spark, sf))
-    snapshot.write_report(lines, path, "database_name", "table_name", "section", "line")
+    snapshot.write_report(_audit(spark, sf).lines, path, *audit_run.REPORT_ORDER)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

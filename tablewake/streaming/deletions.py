@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..plans.audit_run import REPORT_ORDER, audit_run
+from ..plans.audit_run import REPORT_ORDER, audit_landed
 from ..schemas import INVENTORY
 from ..sources.scratch import cut
 from ..sources.snapshot import read_audit_log, read_snapshot, write_audit_log, write_report
@@ -42,14 +42,15 @@ def audit_batch(
 ) -> None:
     """Audit one batch against the current snapshot.
 
+    All deletions that have landed are audited, late ones too: the batch itself is the look-back of a stream.
     The batch's own log records are not counted as seen and its report and log folders are
     replaced, so a batch that is run again after a failure gives the same result.
     """
     catalog = read_snapshot(spark, catalog_root)
     run_name = f"batch-{batch}"
     log = cut(read_audit_log(spark, log_path, but_not=run_name))
-    run = audit_run(
-        cut(events), log, catalog["job_table_edges"], catalog["table_join_edges"],
+    run = audit_landed(
+        cut(audit.deletion_events(events)), log, catalog["job_table_edges"], catalog["table_join_edges"],
         catalog["jobs"], catalog["tables"], hours, ignore_tables,
     )
     write_report(run.lines, f"{report_root}/batch={batch}", *REPORT_ORDER)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,7 +89,8 @@ def run(make, events):
         edges = make.edges(("j1", "read", "db", "used"), ("j1", "write", "db", "out"))
         return audit_run(
             events(*event_rows), make.frame([(e, *[None] * 8) for e in log], AUDIT_LOG),
-            edges, make.joins(), make.jobs(("j1", "glue", "one")), make.tables(("db", "used")), **options,
+            edges, make.joins(), make.jobs(("j1", "glue", "one")), make.tables(("db", "used")),
+            **{"now": F.lit(T1 + timedelta(hours=24)), **options},
         )
 
     return go
@@ -122,6 +123,15 @@ def test_audit_run_text(run):
     }
 
 
+def test_audit_run_keeps_to_its_look_back_and_to_deletions(run, rows):
+    old, other = single("e1", "used", T1 - timedelta(hours=1)), event("e2", "CreateTable")
+    out = run(old, other, single("e3", "used", T2))
+    assert rows(out.flagged, "event_id") == [("e3",)]
+    assert out.totals.first().deletions == 1
+    assert rows(run(old, hours=25).flagged, "event_id") == [("e1",)]
+    assert rows(run(old, now=None).flagged, "event_id") == []
+
+
 def test_clean_run(run):
     out = run(single("e1", "free"))
     lines = [r.line for r in out.lines.orderBy(*REPORT_ORDER).collect()]

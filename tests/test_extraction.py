@@ -50,10 +50,6 @@ def test_prompt(make, rows):
     assert rows(prompts.where("job_id = 'j1'"), "part", "content") == [
         (0, "job name: etl\njob type: glue\nruntime: unknown\n\n<file path=a.py>\none\n</file>\n\n<file path=b.py>\ntwo\n</file>"),
     ]
-    split = ex.render_prompt(jobs, make.frame(FILES, SOURCE_FILES), part_bytes=40).where("job_id = 'j1'")
-    texts = [r.content for r in split.collect()]
-    assert all(t.startswith("job name: etl\n") for t in texts)
-    assert sum(t.count("<file path=") for t in texts) == 2
 
 
 EDGE = {"database": None, "table": "t", "direction": "read", "is_dynamic": False, "evidence": "x"}
@@ -198,6 +194,8 @@ def test_invalid_output_is_retried_once_then_rejected(make, rows):
 def test_missing_fixtures_are_listed(make, rows):
     jobs = make.jobs(("j1", "glue", "etl"), ("j2", "glue", "other"))
     assert rows(ex.missing_fixtures(jobs, fixture(make, {"etl": "t"})), "name") == [("other",)]
+    output = rb.by_fixture(fixture(make, {"etl": "t"}))(jobs, None)
+    assert rows(output, "name", "valid") == [("etl", True), ("other", False)]
 
 
 def test_rehoming(make, rows):

@@ -22,20 +22,23 @@ def test_salted_join_equals_plain_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_lists_in_parts_hold_everything(spark):
-    df = spark.range(1000).selectExpr("if(id < 900, NULL, 'small') AS k", "concat('v', id) AS v")
-    parts = listed(df, ["k"], "v", part_weight=100).collect()
-    big = [r for r in parts if r.k is None]
-    assert len(big) > 5 and all(r.n_parts == 9 for r in big)
-    assert sorted(v for r in big for v in r["items"]) == sorted(f"v{i}" for i in range(900))
-    small = [r for r in parts if r.k == "small"]
+def test_lists_in_pages_hold_everything_in_order(spark):
+    df = spark.range(1000).selectExpr("if(id < 900, NULL, 'small') AS k", "concat('v', id) AS v").repartition(7)
+    pages = listed(df, ["k"], "v", page=100).orderBy("part").collect()
+    big = [r for r in pages if r.k is None]
+    assert [(r.part, len(r["items"])) for r in big] == [(i, 100) for i in range(9)]
+    assert [v for r in big for v in r["items"]] == sorted(f"v{i}" for i in range(900))
+    small = [r for r in pages if r.k == "small"]
     assert len(small) == 1 and small[0]["items"] == sorted(f"v{i}" for i in range(900, 1000))
 
 
-def test_list_weight(spark):
-    df = spark.createDataFrame([("a", "x" * 60), ("a", "y" * 60), ("b", "z")], "k string, v string")
-    parts = listed(df, ["k"], "v", weight=F.length("v"), part_weight=100)
-    assert {(r.k, r.n_parts) for r in parts.collect()} == {("a", 2), ("b", 1)}
+def test_lists_of_structs_with_repeats_and_nulls(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", None, "y"), ("b", 2, None)], "k string, n int, v string")
+    pages = listed(df.selectExpr("k", "struct(n, v) AS s"), ["k"], "s", page=2).orderBy("k", "part").collect()
+    assert [(r.k, r.part, [tuple(i) for i in r["items"]]) for r in pages] == [
+        ("a", 0, [(None, "y"), (1, "x")]), ("a", 1, [(1, "x")]), ("b", 0, [(2, None)]),
+    ]
+    assert listed(df.where("false"), ["k"], "v").collect() == []
 
 
 def test_text_lists_are_distinct_and_sorted(spark):
