@@ -216,8 +216,11 @@ def check_constraints(
     edges: DataFrame,
     events: DataFrame,
     extractions: DataFrame,
+    join_edges: DataFrame | None = None,
+    artifacts: DataFrame | None = None,
+    log: DataFrame | None = None,
 ) -> DataFrame:
-    """Violations of the catalog's keys: (constraint_name, subject, n)."""
+    """Violations of the catalog's keys: (constraint_name, subject, n). Tables not given are not checked."""
     def named_rows(df: DataFrame, name: str, subject: str, n: str = "1L") -> DataFrame:
         return df.selectExpr(f"'{name}' AS constraint_name", f"{subject} AS subject", f"{n} AS n")
 
@@ -238,7 +241,24 @@ def check_constraints(
         named_rows(
             null_violations(events, ["event_id", "event_name"]), "events.not_null", "column_name", "n"
         ),
+        named_rows(missing_parents(extractions, "job_id", jobs, "id"), "extractions.job", "value"),
     ]
+    if join_edges is not None:
+        sides = [f"{side}_{part}" for side in ("left", "right") for part in ("table", "column")]
+        checks.append(named_rows(missing_parents(join_edges, "job_id", jobs, "id"), "joins.job", "value"))
+        checks.append(
+            named_rows(null_violations(join_edges, ["job_id", *sides, "evidence"]), "joins.not_null", "column_name", "n")
+        )
+    if artifacts is not None:
+        twice = unique_violations(artifacts, ["job_id", "reference"])
+        checks.append(named_rows(twice, "artifacts.unique", "concat(job_id, ': ', reference)", "n"))
+        checks.append(named_rows(missing_parents(artifacts, "job_id", jobs, "id"), "artifacts.job", "value"))
+        checks.append(
+            named_rows(null_violations(artifacts, ["job_id", "reference"]), "artifacts.not_null", "column_name", "n")
+        )
+    if log is not None:
+        twice = unique_violations(log, ["event_id", "table_name"])
+        checks.append(named_rows(twice, "log.unique", "concat(event_id, ': ', table_name)", "n"))
     out = checks[0]
     for check in checks[1:]:
         out = out.unionByName(check)

@@ -53,8 +53,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-#: The audit's clock and look-back; it begins at START.
-HOURS = 408
+#: The audit's clock and look-back; the earlier log reaches into it.
+HOURS = 528
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
@@ -919,13 +919,18 @@ def flagged_deletions(spark: SparkSession, sf: str) -> DataFrame:
        UNION ALL SELECT DISTINCT 'tables.database', database_name, 1 FROM lk_tables
          WHERE database_name IS NOT NULL AND database_name NOT IN (SELECT name FROM lk_databases)
        UNION ALL SELECT DISTINCT 'edges.job', job_id, 1 FROM lk_edges WHERE job_id NOT IN (SELECT id FROM lk_jobs)
-       UNION ALL SELECT 'events.not_null', 'event_id', count(*) FROM lk_events WHERE event_id IS NULL HAVING count(*) > 0""",
+       UNION ALL SELECT 'events.not_null', 'event_id', count(*) FROM lk_events WHERE event_id IS NULL HAVING count(*) > 0
+       UNION ALL SELECT DISTINCT 'extractions.job', job_id, 1 FROM lk_extractions WHERE job_id NOT IN (SELECT id FROM lk_jobs)
+       UNION ALL SELECT DISTINCT 'joins.job', job_id, 1 FROM lk_join_edges WHERE job_id NOT IN (SELECT id FROM lk_jobs)
+       UNION ALL SELECT 'joins.not_null', c, count(*) FROM (SELECT unnest(['job_id', 'left_table', 'left_column', 'right_table',
+           'right_column', 'evidence']) AS c, unnest([job_id, left_table, left_column, right_table, right_column, evidence]) AS v
+         FROM lk_join_edges) AS x WHERE v IS NULL GROUP BY c""",
 )
 def check_constraints(spark: SparkSession, sf: str) -> DataFrame:
     c = _small_catalog(spark, sf)
     return catalog.check_constraints(
         c["databases"], c["tables"], c["jobs"], c["job_table_edges"], view(spark, sf, "lk_events"),
-        view(spark, sf, "lk_extractions"),
+        view(spark, sf, "lk_extractions"), c["table_join_edges"],
     )
 
 

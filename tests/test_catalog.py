@@ -71,6 +71,21 @@ def test_constraints(make, rows):
     ]
 
 
+def test_constraints_of_joins_artifacts_and_the_log(make, rows):
+    artifacts = make.frame([("j1", "a"), ("j1", "a"), ("gone", None)], "job_id string, reference string")
+    log = make.frame([("e", "t"), ("e", "t"), ("e", "u")], "event_id string, table_name string")
+    joins = "job_id string, left_table string, left_column string, right_table string, right_column string, evidence string"
+    out = catalog.check_constraints(
+        make.frame([("b",)], "name string"), make.tables(("b", "t")), make.jobs(("j1", "glue", "x")),
+        make.edges(("j1", "read", "b", "t")), make.frame([("e", "x")], "event_id string, event_name string"),
+        make.frame([("lost",)], "job_id string"), make.frame([("gone", "t", None, "u", "c", "x")], joins), artifacts, log,
+    )
+    assert rows(out) == [
+        ("artifacts.job", "gone", 1), ("artifacts.not_null", "reference", 1), ("artifacts.unique", "j1: a", 2),
+        ("extractions.job", "lost", 1), ("joins.job", "gone", 1), ("joins.not_null", "left_column", 1), ("log.unique", "e: t", 2),
+    ]
+
+
 def inventory_frame(spark, kind, *records):
     schema = spark.createDataFrame([], INVENTORY[kind]).schema
     return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in records], schema)
