@@ -185,6 +185,15 @@ def table_readers_writers(edges: DataFrame, jobs: DataFrame) -> DataFrame:
     return listed_text(pairs, ["table_name", "direction"], "label", "labels")
 
 
+# Columns of the catalog that must not be null.
+NOT_NULL = {
+    "tables": ("database_name", "name"),
+    "jobs": ("type", "name"),
+    "edges": ("job_id", "table_name", "direction", "is_dynamic", "evidence"),
+    "extractions": ("job_id", "cache_key", "model", "prompt_version", "extraction"),
+}
+
+
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n) for keys that occur more than once; rows with a null key are never equal."""
     present = df
@@ -220,7 +229,10 @@ def check_constraints(
     artifacts: DataFrame | None = None,
     log: DataFrame | None = None,
 ) -> DataFrame:
-    """Violations of the catalog's keys: (constraint_name, subject, n). Tables not given are not checked."""
+    """Violations of the catalog's keys and not-null columns: (constraint_name, subject, n).
+
+    Tables that are not given, and columns that a table does not have, are not checked.
+    """
     def named_rows(df: DataFrame, name: str, subject: str, n: str = "1L") -> DataFrame:
         return df.selectExpr(f"'{name}' AS constraint_name", f"{subject} AS subject", f"{n} AS n")
 
@@ -243,6 +255,9 @@ def check_constraints(
         ),
         named_rows(missing_parents(extractions, "job_id", jobs, "id"), "extractions.job", "value"),
     ]
+    for name, rows in (("tables", tables), ("jobs", jobs), ("edges", edges), ("extractions", extractions)):
+        required = [c for c in NOT_NULL[name] if c in rows.columns]
+        checks.append(named_rows(null_violations(rows, required), f"{name}.not_null", "column_name", "n"))
     if join_edges is not None:
         sides = [f"{side}_{part}" for side in ("left", "right") for part in ("table", "column")]
         checks.append(named_rows(missing_parents(join_edges, "job_id", jobs, "id"), "joins.job", "value"))

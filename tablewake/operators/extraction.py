@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spread import ITEMS_PER_PART, listed
-
 if TYPE_CHECKING:
     import pandas as pd
 
@@ -29,25 +28,32 @@ JOIN_EDGE_TEXTS = ("left_table", "left_column", "right_table", "right_column", "
 NUL = "\u0000"
 
 
-def cache_key(files: DataFrame, prompt_version: str, model: str, part_items: int = ITEMS_PER_PART) -> DataFrame:
+def prompt_version(instructions: str, schema: str = EXTRACTION) -> str:
+    """The version of a prompt: another instruction or another output schema makes jobs stale."""
+    return hashlib.sha256(f"{instructions}{NUL}{schema}".encode()).hexdigest()[:16]
+
+
+def cache_key(files: DataFrame, prompt_version: str, model: str) -> DataFrame:
     """(job_id, cache_key): SHA-256 over version, model and each file's path and content hash.
 
-    Contents are hashed where they are read; only (path, hash) pairs are shuffled. They are hashed in path order
-    and in pages of ``part_items`` files: the key of one page is the hash of head and page, that of several the hash
-    of head and page hashes.
+    Contents are hashed where they are read; only (path, hash) pairs are shuffled. The rule is the same for any number
+    of files: a file falls into one of 256 buckets by the first byte of its path's hash, a bucket's digest is the hash
+    of its files in path order, and the key is the hash of head, bucket names and digests in order of buckets. So the
+    files of a large job meet in many tasks, and 256 digests in one.
     """
-    hashed = files.select("job_id", F.struct("path", F.sha2("contents", 256).alias("hash")).alias("file"))
-    head = F.lit(f"{prompt_version}{NUL}{model}{NUL}")
-    body = F.array_join(F.transform("items", lambda f: F.concat(f["path"], F.lit(NUL), f["hash"], F.lit(NUL))), "")
-    pages = listed(hashed, ["job_id"], "file", page=part_items).select(
-        "job_id",
-        F.struct("part", F.sha2(body, 256).alias("digest"), F.sha2(F.concat(head, body), 256).alias("only")).alias("page"),
+    hashed = files.select(
+        "job_id", F.substring(F.sha2("path", 256), 1, 2).alias("bucket"),
+        F.struct("path", F.sha2("contents", 256).alias("hash")).alias("file"),
     )
-    merged = pages.groupBy("job_id").agg(F.array_sort(F.collect_list("page")).alias("pages"))
-    combined = F.sha2(F.concat(head, F.array_join(F.transform("pages", lambda p: p["digest"]), NUL)), 256)
-    return merged.select(
-        "job_id", F.when(F.size("pages") == 1, F.col("pages")[0]["only"]).otherwise(combined).alias("cache_key")
+    line = F.transform("files", lambda f: F.concat(f["path"], F.lit(NUL), f["hash"], F.lit(NUL)))
+    buckets = (
+        hashed.groupBy("job_id", "bucket")
+        .agg(F.array_sort(F.collect_list("file")).alias("files"))
+        .select("job_id", F.concat("bucket", F.sha2(F.array_join(line, ""), 256)).alias("digest"))
     )
+    merged = buckets.groupBy("job_id").agg(F.array_sort(F.collect_list("digest")).alias("digests"))
+    head = F.lit(f"{prompt_version}{NUL}{model}{NUL}")
+    return merged.select("job_id", F.sha2(F.concat(head, F.array_join("digests", "")), 256).alias("cache_key"))
 
 
 def stale_jobs(fresh: DataFrame, cached: DataFrame) -> DataFrame:
@@ -190,13 +196,15 @@ def _calls(extractor: Extractor) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 CALLED = "job_id string, name string, part int, extraction string"
 
 
-def extract(prompts: DataFrame, extractor: Extractor, parallelism: int = 8) -> DataFrame:
+def extract(prompts: DataFrame, extractor: Extractor, partitions: int | None = None) -> DataFrame:
     """Call the extractor once per prompt: (job_id, name, part, extraction, valid).
 
-    ``parallelism`` bounds the calls in flight. The caller must write the result before
-    using it twice, or the calls are repeated.
+    Prompts are spread over ``partitions`` (the session's shuffle partitions by default), so a lost task repeats
+    few calls; a task makes one call at a time, so the cores of the executors bound the calls in flight. The
+    caller must write the result before using it twice, or the calls are repeated.
     """
-    spread = prompts.repartition(parallelism, "job_id", "part")
+    keys = ("job_id", "part")
+    spread = prompts.repartition(*keys) if partitions is None else prompts.repartition(partitions, *keys)
     return validated(spread.mapInPandas(_calls(extractor), CALLED))
 
 

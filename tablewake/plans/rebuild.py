@@ -16,12 +16,12 @@ from ..sources.scratch import cut
 EdgeSource = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def by_extractor(extractor: ex.Extractor, parallelism: int = 8) -> EdgeSource:
+def by_extractor(extractor: ex.Extractor, partitions: int | None = None) -> EdgeSource:
     """An extractor function called in tasks, with one retry for invalid output."""
 
     def run(jobs: DataFrame, prompts: DataFrame) -> DataFrame:
-        first = cut(ex.extract(prompts, extractor, parallelism))
-        second = cut(ex.extract(ex.retry_prompts(prompts, first), extractor, parallelism))
+        first = cut(ex.extract(prompts, extractor, partitions))
+        second = cut(ex.extract(ex.retry_prompts(prompts, first), extractor, partitions))
         return first.where("valid").unionByName(second)
 
     return run

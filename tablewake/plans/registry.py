@@ -475,13 +475,13 @@ def get_function(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "decode_json",
     """SELECT name, CASE WHEN json_valid(default_arguments) THEN json_type(default_arguments) END AS kind,
-              default_arguments <> '' AND NOT json_valid(default_arguments) AS rejected
-       FROM lk_glue_jobs WHERE default_arguments IS NOT NULL""",
+              coalesce(default_arguments <> '' AND NOT json_valid(default_arguments), false) AS rejected
+       FROM lk_glue_jobs""",
 )
 def decode_json(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("default_arguments")
     kind = F.when(docs.is_json_object(docs.decoded(text)), "OBJECT")
-    return view(spark, sf, "lk_glue_jobs").where(text.isNotNull()).select(
+    return view(spark, sf, "lk_glue_jobs").select(
         "name", kind.alias("kind"), docs.is_rejected(text).alias("rejected")
     )
 
@@ -613,7 +613,18 @@ def table_columns(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.table_columns(view(spark, sf, "lk_tables"))
 
 
-@query("accent")
+# CRC-32 by bits: each byte is added to the register, which is shifted eight times.
+@query(
+    "accent",
+    f"""WITH named AS (SELECT DISTINCT coalesce(database_name, name) AS name FROM lk_tables),
+    coded AS (SELECT name, hex(encode(name)) AS h FROM named),
+    crc AS (SELECT name, xor(4294967295, list_reduce(
+        list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[],
+          lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)),
+        4294967295)) AS code FROM coded)
+    SELECT name, CAST(code % {names.ACCENT_STEPS} + 1 AS INTEGER) AS ramp FROM crc""",
+)
 def accent(spark: SparkSession, sf: str) -> DataFrame:
     keys = view(spark, sf, "lk_tables").selectExpr("coalesce(database_name, name) AS name").distinct()
     return keys.select("name", names.accent(F.col("name")).alias("ramp"))
@@ -631,10 +642,14 @@ AUTHORED = """regexp_matches(path, '\\.(py|sql)$') AND NOT regexp_matches(path,
 
 OWN_FILES = f"own AS MATERIALIZED (SELECT * FROM lk_files WHERE {AUTHORED})"
 
-KEYS_SQL = f"""{OWN_FILES}, fresh_keys AS MATERIALIZED (
+KEYS_SQL = f"""{OWN_FILES}, file_buckets AS (
+  SELECT job_id, substr(sha256(path), 1, 2) AS bucket,
+         sha256(string_agg(path || chr(0) || sha256(contents) || chr(0), '' ORDER BY path, sha256(contents))) AS digest
+  FROM own GROUP BY 1, 2),
+fresh_keys AS MATERIALIZED (
   SELECT job_id, sha256('{PROMPT_VERSION}' || chr(0) || '{MODEL}' || chr(0)
-    || string_agg(path || chr(0) || sha256(contents) || chr(0), '' ORDER BY path, sha256(contents))) AS cache_key
-  FROM own GROUP BY job_id)"""
+    || string_agg(bucket || digest, '' ORDER BY bucket)) AS cache_key
+  FROM file_buckets GROUP BY job_id)"""
 
 CACHED_SQL = """stored AS MATERIALIZED (
   SELECT job_id, cache_key FROM lk_cached
@@ -912,7 +927,7 @@ def flagged_deletions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "check_constraints",
-    """SELECT 'databases.unique' AS constraint_name, name AS subject, count(*) AS n FROM lk_databases GROUP BY name HAVING count(*) > 1
+    f"""{RECORDS_SQL} SELECT 'databases.unique' AS constraint_name, name AS subject, count(*) AS n FROM lk_databases GROUP BY name HAVING count(*) > 1
        UNION ALL SELECT 'tables.unique', database_name || '.' || name, count(*) FROM lk_tables GROUP BY database_name, name HAVING count(*) > 1
        UNION ALL SELECT 'jobs.unique', type || ': ' || name, count(*) FROM lk_jobs GROUP BY type, name HAVING count(*) > 1
        UNION ALL SELECT 'extractions.unique', job_id, count(*) FROM lk_extractions GROUP BY job_id HAVING count(*) > 1
@@ -924,13 +939,27 @@ def flagged_deletions(spark: SparkSession, sf: str) -> DataFrame:
        UNION ALL SELECT DISTINCT 'joins.job', job_id, 1 FROM lk_join_edges WHERE job_id NOT IN (SELECT id FROM lk_jobs)
        UNION ALL SELECT 'joins.not_null', c, count(*) FROM (SELECT unnest(['job_id', 'left_table', 'left_column', 'right_table',
            'right_column', 'evidence']) AS c, unnest([job_id, left_table, left_column, right_table, right_column, evidence]) AS v
-         FROM lk_join_edges) AS x WHERE v IS NULL GROUP BY c""",
+         FROM lk_join_edges) AS x WHERE v IS NULL GROUP BY c
+       UNION ALL SELECT 'edges.not_null', c, count(*) FROM (SELECT unnest(['job_id', 'table_name', 'direction', 'evidence']) AS c,
+           unnest([job_id, table_name, direction, evidence]) AS v FROM lk_edges
+         UNION ALL SELECT 'is_dynamic', CAST(is_dynamic AS VARCHAR) FROM lk_edges) AS x WHERE v IS NULL GROUP BY c
+       UNION ALL SELECT 'tables.not_null', c, count(*) FROM (SELECT unnest(['database_name', 'name']) AS c,
+           unnest([database_name, name]) AS v FROM lk_tables) AS x WHERE v IS NULL GROUP BY c
+       UNION ALL SELECT 'jobs.not_null', c, count(*) FROM (SELECT unnest(['type', 'name']) AS c, unnest([type, name]) AS v
+         FROM lk_jobs) AS x WHERE v IS NULL GROUP BY c
+       UNION ALL SELECT 'extractions.not_null', c, count(*) FROM (SELECT unnest(['job_id', 'extraction']) AS c,
+           unnest([job_id, extraction]) AS v FROM lk_extractions) AS x WHERE v IS NULL GROUP BY c
+       UNION ALL SELECT 'artifacts.unique', job_id || ': ' || path, count(*) FROM lk_files GROUP BY job_id, path HAVING count(*) > 1
+       UNION ALL SELECT DISTINCT 'artifacts.job', job_id, 1 FROM lk_files WHERE job_id NOT IN (SELECT id FROM lk_jobs)
+       UNION ALL SELECT 'log.unique', event_id || ': ' || table_name, count(*) FROM del
+         GROUP BY event_id, table_name HAVING count(*) > 1""",
 )
 def check_constraints(spark: SparkSession, sf: str) -> DataFrame:
     c = _small_catalog(spark, sf)
     return catalog.check_constraints(
         c["databases"], c["tables"], c["jobs"], c["job_table_edges"], view(spark, sf, "lk_events"),
         view(spark, sf, "lk_extractions"), c["table_join_edges"],
+        view(spark, sf, "lk_files").selectExpr("job_id", "path AS reference"), _deletions(spark, sf),
     )
 
 

@@ -83,7 +83,7 @@ WHERE right_table IS NOT NULL
 UNION ALL
 SELECT DISTINCT 'job_' || l_orderkey, CAST(NULL AS VARCHAR(20)), 'df_' || l_linenumber, 'id', 'db_0',
        't_' || (l_partkey - l_partkey % 2), 'id', 'df merge'
-FROM lineitem WHERE l_returnflag = 'R'
+FROM lineitem
 """
 
 # Audit-trail events: null ids, foreign sources, broken payloads, members that are no strings.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
@@ -18,6 +19,7 @@ from ..functions.paths import (
     is_source_path,
 )
 from .inventory import script_uris
+from .scratch import cut
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -40,9 +42,9 @@ def object_location(root: str, uri: Column) -> Column:
     return F.concat_ws("/", F.lit(root.rstrip("/")), s3_bucket(uri), s3_key(uri))
 
 
-def scan_objects(spark: SparkSession, root: str) -> DataFrame:
-    """All landed objects below ``root``: (location, content)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan_objects(spark: SparkSession, root: str, names: str = "*.{py,sql}") -> DataFrame:
+    """Landed objects below ``root`` whose names match: (location, content). Archives and other data are not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("location"), "content")
 
 
@@ -71,10 +73,12 @@ def bad_uris(glue_jobs: DataFrame) -> DataFrame:
 FLUSH_BYTES = 16 * 1024 * 1024
 
 
-def package_members(packages: DataFrame) -> DataFrame:
-    """(name, path, contents) for readable packages (name, package_type, content).
+def unpacked(packages: DataFrame) -> DataFrame:
+    """(name, path, content, reason) for zip packages (name, package_type, content).
 
-    Python only opens the archives and hands on source and RECORD files in bounded batches.
+    Python only opens the archives and hands on source and RECORD files in bounded batches. An archive that cannot be
+    opened, or has no content, is one row with a ``reason``; so is each member that cannot be read. All other rows
+    have none.
     """
 
     # Nested, so that executors need not have this package installed.
@@ -82,23 +86,42 @@ def package_members(packages: DataFrame) -> DataFrame:
         import pandas as pd
 
         wanted = (".py", ".sql", RECORD_SUFFIX)
-        columns = ["name", "path", "content"]
+        columns = ["name", "path", "content", "reason"]
+        broken = (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError, ValueError)
         for batch in batches:
             rows, size = [], 0
             for name, content in zip(batch["name"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        if member.endswith(wanted):
-                            rows.append((name, member, archive.read(member)))
-                            size += len(rows[-1][2])
-                        if size > FLUSH_BYTES:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows, size = [], 0
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content or b""))
+                except broken as error:
+                    rows.append((name, None, None, f"no archive: {error}"))
+                    continue
+                for member in archive.namelist():
+                    if not member.endswith(wanted):
+                        continue
+                    try:
+                        rows.append((name, member, archive.read(member), None))
+                        size += len(rows[-1][2])
+                    except broken as error:
+                        rows.append((name, member, None, f"unreadable member: {error}"))
+                    if size > FLUSH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     readable = packages.where(F.col("package_type") == ZIP_PACKAGE).select("name", "content")
-    unpacked = readable.mapInPandas(members, "name string, path string, content binary")
-    return unpacked.select("name", "path", as_text(F.col("content")).alias("contents"))
+    return readable.mapInPandas(members, "name string, path string, content binary, reason string")
+
+
+def package_members(packages: DataFrame) -> DataFrame:
+    """(name, path, contents) of the source and RECORD files of zip packages (name, package_type, content)."""
+    members = unpacked(packages).where("reason IS NULL")
+    return members.select("name", "path", as_text(F.col("content")).alias("contents"))
+
+
+def package_rejects(packages: DataFrame) -> DataFrame:
+    """(name, path, reason) of broken archives and of members that cannot be read."""
+    return unpacked(packages).where("reason IS NOT NULL").select("name", "path", "reason")
 
 
 def dependency_paths(members: DataFrame) -> DataFrame:
@@ -126,8 +149,8 @@ def authored_members(members: DataFrame) -> DataFrame:
 
 
 def package_files(packages: DataFrame) -> DataFrame:
-    """(job_id, path, contents) of the authored files of function packages."""
-    return authored_members(package_members(packages)).select(
+    """(job_id, path, contents) of the authored files of function packages; archives are opened once."""
+    return authored_members(cut(package_members(packages))).select(
         job_id(F.lit("lambda"), F.col("name")).alias("job_id"), "path", "contents"
     )
 

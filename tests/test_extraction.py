@@ -17,14 +17,15 @@ FILES = [("j1", "b.py", "two"), ("j1", "a.py", "one"), ("j2", "x.sql", "SELECT 1
 
 
 def key_of(files, version="v", model="m"):
-    digest = hashlib.sha256(f"{version}\x00{model}\x00".encode())
+    hashed = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    buckets = {}
     for path, contents in sorted(files):
-        digest.update(f"{path}\x00{hashlib.sha256(contents.encode()).hexdigest()}\x00".encode())
-    return digest.hexdigest()
+        buckets.setdefault(hashed(path)[:2], []).append(f"{path}\x00{hashed(contents)}\x00")
+    return hashed(f"{version}\x00{model}\x00" + "".join(b + hashed("".join(buckets[b])) for b in sorted(buckets)))
 
 
-def keys(make, files, version="v", model="m", **options):
-    df = ex.cache_key(make.frame(files, SOURCE_FILES), version, model, **options)
+def keys(make, files, version="v", model="m"):
+    df = ex.cache_key(make.frame(files, SOURCE_FILES), version, model)
     return {r.job_id: r.cache_key for r in df.collect()}
 
 
@@ -37,11 +38,18 @@ def test_cache_key(make):
 
 
 def test_cache_key_of_a_job_with_very_many_files(make):
-    many = [("big", f"f{i}.py", str(i)) for i in range(50)]
-    found = keys(make, many, part_items=10)
-    assert keys(make, many[::-1], part_items=10) == found
+    many = [("big", f"f{i}.py", str(i)) for i in range(1500)]
+    found = keys(make, many)
+    assert found == {"big": key_of([(p, c) for _, p, c in many])}
+    assert keys(make, many[::-1]) == found
     changed = [("big", "f7.py", "changed") if p == "f7.py" else (j, p, c) for j, p, c in many]
-    assert keys(make, changed, part_items=10) != found
+    assert keys(make, changed) != found
+
+
+def test_prompt_version_follows_instructions_and_schema():
+    first = ex.prompt_version("find edges")
+    assert first == ex.prompt_version("find edges") and len(first) == 16
+    assert len({first, ex.prompt_version("find all edges"), ex.prompt_version("find edges", "struct<a:int>")}) == 3
 
 
 def test_prompt(make, rows):

@@ -63,6 +63,19 @@ def test_packages(make, rows):
     assert code.source_files({"lambda": (packages,)}).count() == 3
 
 
+def test_broken_packages_are_rejected(make, rows):
+    good = package({"main.py": "print(1)", "q.sql": "SELECT 1"})
+    damaged = bytearray(good)
+    damaged[damaged.index(b"print(1)")] ^= 1  # the checksum no longer fits
+    packages = make.frame(
+        [("ok", "Zip", bytearray(good)), ("bad", "Zip", bytearray(b"no zip")), ("none", "Zip", None), ("part", "Zip", damaged)],
+        "name string, package_type string, content binary",
+    )
+    members = [("ok", "main.py"), ("ok", "q.sql"), ("part", "q.sql")]
+    assert rows(code.package_members(packages), "name", "path") == members
+    assert rows(code.package_rejects(packages), "name", "path") == [("bad", None), ("none", None), ("part", "main.py")]
+
+
 def test_package_claims_stay_inside_the_package(make, rows):
     one = package({"six.py": "dep", "six-1.dist-info/RECORD": "six.py,,\n"})
     two = package({"six.py": "mine"})
