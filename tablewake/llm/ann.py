@@ -6,7 +6,8 @@ curve. Spark range-partitions all keys and numbers them, so that each class has
 A curve's positions are cut into runs of ``RUN``; a run also gets the ``REACH`` positions on either side. In a run
 each query meets the classes within its reach, by cosine; the best of all curves are merged, scored
 in double precision on the original vectors, and expanded to the ids of their classes. Small tables are searched
-completely, as the reach covers them.
+completely, as the reach covers them. After each ``CURVES`` curves the recall is measured against all vectors on up to
+``SAMPLE`` queries; while it is below ``RECALL``, as many further curves are added, whatever the table's size.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Only
 vectors of equal length meet. Rows that repeat an id and a vector count once; of several vectors
@@ -32,6 +33,8 @@ CELL_BITS = 8
 RUN = 4096
 REACH = 1024
 SEED = 23
+SAMPLE = 256  # queries whose recall is measured
+RECALL = 0.93  # on the sample, which leaves room for its error above 0.9
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,12 +66,12 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def curve_keys(vectors: np.ndarray, curves: int, dims: int, bits: int, seed: int) -> np.ndarray:
-    """The keys of vectors (rows) on each curve (columns)."""
+def curve_keys(vectors: np.ndarray, curves: int, dims: int, bits: int, seed: int, start: int = 0) -> np.ndarray:
+    """The keys of vectors (rows) on each curve (columns), from curve ``start`` on."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     out = np.zeros((len(unit), curves), np.int64)
     for c in range(curves):
-        rng = np.random.default_rng([seed, c, vectors.shape[1]])
+        rng = np.random.default_rng([seed, start + c, vectors.shape[1]])
         axes = np.linalg.qr(rng.standard_normal((vectors.shape[1], min(dims, vectors.shape[1]))))[0]
         # A component of a random unit vector has a deviation of 1 / sqrt(length); four of them fill the cells.
         spread = 4 / np.sqrt(vectors.shape[1])
@@ -100,17 +103,17 @@ def classes(vectors: DataFrame, ids: int) -> DataFrame:
     return merged.select(F.struct("a", "b").alias("class_id"), F.size("vector").alias("length"), "vector", "ids")
 
 
-def _placed(known: DataFrame, curves: int, dims: int, bits: int, seed: int) -> DataFrame:
+def _placed(known: DataFrame, curves: int, dims: int, bits: int, seed: int, start: int) -> DataFrame:
     """(length, curve, key, class_id) of every class on every curve."""
 
     def run(frames):
         for frame in frames:
             for length, group in frame.groupby("length"):
-                keys = curve_keys(np.stack(group["vector"].to_numpy()).astype(np.float64), curves, dims, bits, seed)
+                keys = curve_keys(np.stack(group["vector"].to_numpy()).astype(np.float64), curves, dims, bits, seed, start)
                 yield pd.DataFrame(
                     {
                         "length": np.int32(length),
-                        "curve": np.tile(np.arange(curves, dtype=np.int32), len(group)),
+                        "curve": np.tile(np.arange(start, start + curves, dtype=np.int32), len(group)),
                         "key": keys.ravel(),
                         "a": np.repeat(group["a"].to_numpy(), curves),
                         "b": np.repeat(group["b"].to_numpy(), curves),
@@ -121,17 +124,11 @@ def _placed(known: DataFrame, curves: int, dims: int, bits: int, seed: int) -> D
     return rows.mapInPandas(run, "length int, curve int, key long, a long, b long")
 
 
-def neighbours(
-    vectors: DataFrame, every: int = QUERY_EVERY, nearest: int = NEAREST, curves: int = CURVES, dims: int = DIMS,
-    bits: int = CELL_BITS, run_length: int = RUN, reach: int = REACH, seed: int = SEED,
+def _met(
+    known: DataFrame, asked: DataFrame, nearest: int, curves: int, dims: int, bits: int, run_length: int, reach: int, seed: int, start: int
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the nearest found for each id that ``every`` divides, from (vec_id, embedding)."""
-    known = cut(classes(vectors, nearest + 1))
-    asking = vectors.select(F.col("vec_id").cast("long").alias("query_id"), unsigned_zero(vectors).alias("v"))
-    asking = asking.where(F.col("query_id") % every == 0)
-    asking = asking.select("query_id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")).distinct()
-    asked = cut(asking.select("a", "b").distinct())
-    line = positions(cut(_placed(known, curves, dims, bits, seed)), *map(F.col, ("length", "curve", "key", "a", "b")))
+    """(a, b, na, nb, score): the nearest classes that each asking class meets on ``curves`` curves from ``start`` on."""
+    line = positions(cut(_placed(known, curves, dims, bits, seed, start)), *map(F.col, ("length", "curve", "key", "a", "b")))
     line = cut(line.select("length", "curve", "a", "b", "position"))
     # Positions run over all curves; a run holds places of one curve only where it matters: windows check the curve.
     lane = line.join(asked.withColumn("asks", F.lit(True)), ["a", "b"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
@@ -161,10 +158,75 @@ def neighbours(
                 scores[q - lo] = -np.inf
                 best = np.argsort(-scores, kind="stable")[:nearest]
                 best = best[np.isfinite(scores[best])] + lo
-                found += [(a[rows[q]], b[rows[q]], a[rows[k]], b[rows[k]]) for k in best]
-        return pd.DataFrame(found, columns=["a", "b", "na", "nb"]).astype("int64")
+                found += [(a[rows[q]], b[rows[q]], a[rows[k]], b[rows[k]], scores[k - lo]) for k in best]
+        ids = dict.fromkeys(["a", "b", "na", "nb"], "int64")
+        return pd.DataFrame(found, columns=[*ids, "score"]).astype({**ids, "score": "float64"})
+
+    pairs = lane.groupBy("run_no").applyInPandas(search, "a long, b long, na long, nb long, score double")
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.max("score").alias("score"))
+
+
+def _best_scores(known: DataFrame, sample: DataFrame, nearest: int) -> dict:
+    """The scores, best first, of the classes nearest to each class of a sample (bounded), by comparison with all."""
+    asking = known.join(sample, [known["class_id.a"] == sample["a"], known["class_id.b"] == sample["b"]], "left_semi")
+    asking = asking.select("length", "class_id.a", "class_id.b", "vector").toPandas()
+    by_length = {}
+    for length, group in asking.groupby("length"):
+        q = np.stack(group["vector"].to_numpy()).astype(np.float64)
+        by_length[length] = (group["a"].to_numpy(), group["b"].to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True))
 
-    pairs = lane.groupBy("run_no").applyInPandas(search, "a long, b long, na long, nb long").distinct()
+    def compare(frames):
+        for frame in frames:
+            for length, group in frame.groupby("length"):
+                if length not in by_length:
+                    continue
+                a, b, q = by_length[length]
+                v = np.stack(group["vector"].to_numpy()).astype(np.float64)
+                scores = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+                scores[(a[:, None] == group["a"].to_numpy()) & (b[:, None] == group["b"].to_numpy())] = -np.inf
+                best = -np.sort(-scores, axis=1)[:, :nearest]
+                n = best.shape[1]
+                out = pd.DataFrame({"a": np.repeat(a, n), "b": np.repeat(b, n), "score": best.ravel()})
+                yield out[np.isfinite(out["score"])]
+
+    rows = known.select("length", "class_id.a", "class_id.b", "vector").mapInPandas(compare, "a long, b long, score double")
+    return _top(rows, nearest)
+
+
+def _top(rows: DataFrame, nearest: int) -> dict:
+    """The best scores of each class (a, b) of a bounded table."""
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("score")))
+    out: dict = {}
+    for r in rows.select("a", "b", "score", place.alias("place")).where(F.col("place") <= nearest).orderBy("place").collect():
+        out.setdefault((r.a, r.b), []).append(r.score)
+    return out
+
+
+def _recall(pairs: DataFrame, sample: DataFrame, best: dict, nearest: int) -> float:
+    """The part of the best scores of a sample that ``pairs`` reach."""
+    found = _top(pairs.join(sample, ["a", "b"], "left_semi"), nearest)
+    hits = sum(score >= scores[-1] - 1e-9 for key, scores in best.items() for score in found.get(key, []))
+    return hits / max(1, sum(map(len, best.values())))
+
+
+def neighbours(
+    vectors: DataFrame, every: int = QUERY_EVERY, nearest: int = NEAREST, curves: int = CURVES, dims: int = DIMS,
+    bits: int = CELL_BITS, run_length: int = RUN, reach: int = REACH, seed: int = SEED,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the nearest found for each id that ``every`` divides, from (vec_id, embedding)."""
+    known = cut(classes(vectors, nearest + 1))
+    asking = vectors.select(F.col("vec_id").cast("long").alias("query_id"), unsigned_zero(vectors).alias("v"))
+    asking = asking.where(F.col("query_id") % every == 0)
+    asking = asking.select("query_id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")).distinct()
+    asked = cut(asking.select("a", "b").distinct())
+    sample = cut(asked.orderBy(F.xxhash64("a"), "a", "b").limit(SAMPLE))
+    best_scores = _best_scores(known, sample, nearest)
+    pairs, start = None, 0
+    while pairs is None or _recall(pairs, sample, best_scores, nearest) < (RECALL if best_scores else 0):
+        more = _met(known, asked, nearest, curves, dims, bits, run_length, reach, seed, start)
+        pairs = cut(more if pairs is None else pairs.union(more).groupBy("a", "b", "na", "nb").agg(F.max("score").alias("score")))
+        start += curves
+    pairs = pairs.drop("score")
     # A class is its own neighbour when it has several ids.
     pairs = cut(pairs.union(asked.select("a", "b", F.col("a").alias("na"), F.col("b").alias("nb"))))
     one = known.select("class_id.a", "class_id.b", F.col("vector").alias("q"))
