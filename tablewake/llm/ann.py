@@ -6,7 +6,9 @@ curve. Spark range-partitions all keys and numbers them, so that each class has
 A curve's positions are cut into runs of ``RUN``; a run also gets the ``REACH`` positions on either side. In a run
 each query meets the classes within its reach, by cosine; the best of all curves are merged, scored
 in double precision on the original vectors, and expanded to the ids of their classes. Small tables are searched
-completely, as the reach covers them. After each ``CURVES`` curves the recall is measured against all vectors on up to
+completely, as the reach covers them. Rows of one cell are ordered by a curve through the cell's own content, and rows of
+one such cell by another (``LEVELS``), so a dense group is spread out as well; what is equal then is ordered by a hash
+that differs from curve to curve. A window keeps all ties at its last place for the exact scores. After each ``CURVES`` curves the recall is measured against all vectors on up to
 ``SAMPLE`` queries; while it is below ``RECALL``, as many further curves are added, whatever the table's size.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Only
@@ -30,6 +32,8 @@ QUERY_EVERY = 50
 CURVES = 24
 DIMS = 7
 CELL_BITS = 8
+LEVELS = 3  # curves within cells; beyond 24 bits cosines in double precision do not differ
+TIE = 1e-12
 RUN = 4096
 REACH = 1024
 SEED = 23
@@ -67,9 +71,9 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def curve_keys(vectors: np.ndarray, curves: int, dims: int, bits: int, seed: int, start: int = 0) -> np.ndarray:
-    """The keys of vectors (rows) on each curve (columns), from curve ``start`` on."""
+    """The keys of vectors (rows) on each curve (columns) at each level (last axis), from curve ``start`` on."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    out = np.zeros((len(unit), curves), np.int64)
+    out = np.zeros((len(unit), curves, LEVELS), np.int64)
     for c in range(curves):
         rng = np.random.default_rng([seed, start + c, vectors.shape[1]])
         axes = np.linalg.qr(rng.standard_normal((vectors.shape[1], min(dims, vectors.shape[1]))))[0]
@@ -77,8 +81,10 @@ def curve_keys(vectors: np.ndarray, curves: int, dims: int, bits: int, seed: int
         spread = 4 / np.sqrt(vectors.shape[1])
         shift = rng.uniform(0, 0.5, axes.shape[1])
         place = (unit @ axes / spread + 1) / 2 * 0.66 + shift * 0.66
-        cells = np.clip(place * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-        out[:, c] = hilbert(cells, bits)
+        for level in range(LEVELS):
+            cells = np.clip(place * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+            out[:, c, level] = hilbert(cells, bits)
+            place = place * (1 << bits) - cells
     return out
 
 
@@ -104,7 +110,7 @@ def classes(vectors: DataFrame, ids: int) -> DataFrame:
 
 
 def _placed(known: DataFrame, curves: int, dims: int, bits: int, seed: int, start: int) -> DataFrame:
-    """(length, curve, key, class_id) of every class on every curve."""
+    """(length, curve, keys, turn, class_id) of every class on every curve; ``turn`` orders equal keys."""
 
     def run(frames):
         for frame in frames:
@@ -114,21 +120,22 @@ def _placed(known: DataFrame, curves: int, dims: int, bits: int, seed: int, star
                     {
                         "length": np.int32(length),
                         "curve": np.tile(np.arange(start, start + curves, dtype=np.int32), len(group)),
-                        "key": keys.ravel(),
+                        **{f"key{i}": keys[:, :, i].ravel() for i in range(LEVELS)},
                         "a": np.repeat(group["a"].to_numpy(), curves),
                         "b": np.repeat(group["b"].to_numpy(), curves),
                     }
                 )
 
     rows = known.select("length", "vector", "class_id.a", "class_id.b")
-    return rows.mapInPandas(run, "length int, curve int, key long, a long, b long")
+    keys = "".join(f"key{i} long, " for i in range(LEVELS))
+    return rows.mapInPandas(run, f"length int, curve int, {keys}a long, b long").withColumn("turn", F.xxhash64("curve", "a", "b"))
 
 
 def _met(
     known: DataFrame, asked: DataFrame, nearest: int, curves: int, dims: int, bits: int, run_length: int, reach: int, seed: int, start: int
 ) -> DataFrame:
     """(a, b, na, nb, score): the nearest classes that each asking class meets on ``curves`` curves from ``start`` on."""
-    line = positions(cut(_placed(known, curves, dims, bits, seed, start)), *map(F.col, ("length", "curve", "key", "a", "b")))
+    line = positions(cut(_placed(known, curves, dims, bits, seed, start)), *map(F.col, ("length", "curve", *(f"key{i}" for i in range(LEVELS)), "turn", "a", "b")))
     line = cut(line.select("length", "curve", "a", "b", "position"))
     # Positions run over all curves; a run holds places of one curve only where it matters: windows check the curve.
     lane = line.join(asked.withColumn("asks", F.lit(True)), ["a", "b"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
@@ -156,8 +163,8 @@ def _met(
                 lo, hi = np.searchsorted(place[rows], [place[rows][q] - reach, place[rows][q] + reach + 1])
                 scores = matrix[lo:hi] @ matrix[q]
                 scores[q - lo] = -np.inf
-                best = np.argsort(-scores, kind="stable")[:nearest]
-                best = best[np.isfinite(scores[best])] + lo
+                last = np.partition(scores, -nearest)[-nearest] if len(scores) > nearest else -np.inf
+                best = np.flatnonzero((scores >= last - TIE) & np.isfinite(scores)) + lo
                 found += [(a[rows[q]], b[rows[q]], a[rows[k]], b[rows[k]], scores[k - lo]) for k in best]
         ids = dict.fromkeys(["a", "b", "na", "nb"], "int64")
         return pd.DataFrame(found, columns=[*ids, "score"]).astype({**ids, "score": "float64"})
