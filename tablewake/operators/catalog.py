@@ -83,14 +83,11 @@ def list_join_edges(join_edges: DataFrame) -> DataFrame:
 def join_edges_of_tables(join_edges: DataFrame, names: DataFrame) -> DataFrame:
     """(focus_table, edge columns) for join edges naming the table on either side.
 
-    Two equi joins instead of one OR condition; the second skips edges the first returned.
+    The edges are read once, with a row for each name they have.
     """
     focus = names.select(F.col("table_name").alias("focus_table")).distinct()
-    left = focus.join(join_edges, F.expr("left_table = focus_table"))
-    right = focus.join(
-        join_edges, F.expr("right_table = focus_table AND left_table <> focus_table")
-    )
-    return left.unionByName(right)
+    named = join_edges.withColumn("focus_table", F.explode(F.array_distinct(F.array("left_table", "right_table"))))
+    return focus.join(named, "focus_table").select("focus_table", *join_edges.columns)
 
 
 def first_function(functions: DataFrame, name: str) -> DataFrame:

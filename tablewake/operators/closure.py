@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import Levels, cut
+from ..sources.scratch import Levels, cut, cut_counted
 from .masks import by_focus, number_foci
 from .spread import ROWS_PER_SALT, hot_keys, matched, salted
 
@@ -29,6 +29,7 @@ class EdgeSides:
     writes: DataFrame
     hot_tables: DataFrame | None
     hot_jobs: DataFrame | None
+    n_edges: int = 0
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Walk:
 
 def edge_sides(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> EdgeSides:
     """Write the two edge sets once, so that every hop scans only what it joins."""
-    distinct = cut(
+    distinct, n_edges = cut_counted(
         edges.where("direction IN ('read', 'write')")
         .select("job_id", "database_name", "table_name", "direction")
         .distinct(),
@@ -53,7 +54,7 @@ def edge_sides(edges: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> EdgeSide
     table_rows, job_rows = _largest_groups(reads, writes)
     reads, hot_tables = _salt_side(reads, "table_name", "job_id", rows_per_salt, table_rows)
     writes, hot_jobs = _salt_side(writes, "job_id", "table_name", rows_per_salt, job_rows)
-    return EdgeSides(reads, writes, hot_tables, hot_jobs)
+    return EdgeSides(reads, writes, hot_tables, hot_jobs, n_edges)
 
 
 def _largest_groups(reads: DataFrame, writes: DataFrame) -> tuple[int, int]:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import job_label, known_database, same_database, table_key
-from .closure import Walk, job_visits, placed_tables, visited_jobs, walk
+from ..sources.scratch import cut, cut_counted
+from .closure import Walk, placed_tables, readers, visited_jobs, walk
 from .masks import count_bits, named_foci
+from .spread import ROWS_PER_SALT, hot_keys, matched, salted
 
 
 def clean_foci(foci: DataFrame) -> DataFrame:
@@ -71,34 +73,36 @@ def backfilled(df: DataFrame, tables: DataFrame, focus_table: str = "focus_table
     )
 
 
-def join_refs(join_edges: DataFrame, foci: DataFrame) -> DataFrame:
+def edge_ends(join_edges: DataFrame) -> DataFrame:
+    """Both ends of each join edge, a row each: ``table_name`` and ``end_database``, the rest of the edge, and the other end."""
+    end = """named_struct('table_name', {a}_table, 'end_database', {a}_database, 'other_database', {b}_database,
+                          'other_table', {b}_table)"""
+    return join_edges.selectExpr(
+        "job_id", "evidence", f"inline(array({end.format(a='left', b='right')}, {end.format(a='right', b='left')}))"
+    )
+
+
+def join_refs(join_edges: DataFrame, foci: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Join edges that touch a focus on exactly one side, with the other side as partner.
 
-    An edge whose two sides both match the focus is a self join and is left out, so the
-    two branches never return the same edge twice.
+    An edge whose two sides both match the focus is a self join and is left out, so its two ends never give the same edge
+    twice. The edges are read once; only ends of focus names are kept, and the names that hold very many are spread by salts.
     """
-    targets = clean_foci(foci).select(
-        F.col("database_name").alias("focus_database"), F.col("table_name").alias("focus_table")
+    targets = clean_foci(foci).select(F.col("database_name").alias("focus_database"), "table_name")
+    names = targets.select("table_name").distinct()
+    ends, n = cut_counted(edge_ends(join_edges).join(names, "table_name", "left_semi"))
+    keys = ["table_name"]
+    if n > rows_per_salt:
+        hot = cut(hot_keys(ends, "table_name", rows_per_salt))
+        ends, targets = salted(ends, "table_name", hot, ["job_id", "evidence"]), matched(targets, "table_name", hot)
+        keys = ["table_name", "salt"]
+    here = same_database(F.col("end_database"), F.col("focus_database"))
+    there = (F.col("other_table") == F.col("table_name")) & same_database(F.col("other_database"), F.col("focus_database"))
+    return ends.join(targets, keys).where(here & ~there).select(
+        "focus_database", F.col("table_name").alias("focus_table"), "job_id",
+        F.col("other_database").alias("database_name"), F.col("other_table").alias("table_name"), "evidence",
     )
 
-    def touching(side: str, other: str) -> DataFrame:
-        here = (F.col(f"{side}_table") == F.col("focus_table")) & same_database(
-            F.col(f"{side}_database"), F.col("focus_database")
-        )
-        there = (F.col(f"{other}_table") == F.col("focus_table")) & same_database(
-            F.col(f"{other}_database"), F.col("focus_database")
-        )
-        return join_edges.join(targets, here).where(~there).select(
-            "focus_database",
-            "focus_table",
-            "job_id",
-            F.col(f"{other}_database").alias("database_name"),
-            F.col(f"{other}_table").alias("table_name"),
-            "evidence",
-        )
-
-    return touching("left", "right").unionByName(touching("right", "left"))
-
 
 def direct_readers(edges: DataFrame, foci: DataFrame) -> DataFrame:
     """Distinct (focus_database, focus_table, job_id) of jobs reading a focus."""
@@ -205,7 +209,8 @@ def blast_radius(result: Walk, join_edges: DataFrame) -> DataFrame:
     joining = refs.join(
         bits, F.expr("focus_table = bit_table AND focus_database <=> bit_database")
     ).select("block", "job_id", "mask")
-    visits = job_visits(result).select("block", "job_id", "mask")
+    # Which hop a job is reached in doesn't matter here.
+    visits = readers(result.placed.withColumn("hop", F.lit(0)), result.sides).select("block", "job_id", "mask")
     merged = visits.unionByName(joining).groupBy("block", "job_id").agg(
         F.bit_or("mask").alias("mask")
     )

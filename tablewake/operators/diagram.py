@@ -5,16 +5,19 @@ Diagrams match tables by name only, unlike the dependents walk.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import table_key
-from ..sources.scratch import Levels, cut
+from ..sources.scratch import Levels, cut, cut_clustered
 from .catalog import join_edges_of_tables, partition_columns
 from .closure import EdgeSides, edge_sides
 from .dependents import with_label
 from .masks import by_focus, named_foci, number_foci
-from .spread import hot_keys, listed_text, matched, salted
+from .spread import ROWS_PER_SALT, hot_keys, listed_text, matched, salted
 
 # Bounds of the walk in each direction.
 MIN_DEPTH, MAX_DEPTH, DEFAULT_DEPTH = 1, 4, 2
@@ -34,14 +37,66 @@ class Dag:
         self.placed = placed
         self.jobs = jobs
         self.sides = sides
+        self._touched: DataFrame | None = None
+
+    @property
+    def touched(self) -> DataFrame:
+        """Edges of the walked jobs on placed tables: (block, job_id, table_name, direction, database_name, mask). Written once."""
+        if self._touched is None:
+            columns = ["job_id", "table_name", "database_name"]
+            reads = self.sides.reads.select(*columns, F.lit("read").alias("direction"))
+            writes = self.sides.writes.select(*columns, F.lit("write").alias("direction"))
+            on_jobs = self.jobs.join(reads.unionByName(writes), "job_id")
+            placed = self.placed.groupBy("block", "table_name").agg(F.expr("bit_or(mask) AS placed"))
+            self._touched = cut(
+                on_jobs.join(placed, ["block", "table_name"])
+                .selectExpr("block", "job_id", "table_name", "direction", "database_name", "mask & placed AS mask")
+                .where("mask != 0")
+            )
+        return self._touched
 
 
-def _touching(level: DataFrame, side: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Jobs with an edge on the level's tables: (block, job_id, mask)."""
-    light, keys = (level, ["table_name"]) if hot is None else (
-        matched(level, "table_name", hot), ["table_name", "salt"]
-    )
-    return light.join(side, keys).groupBy("block", "job_id").agg(F.expr("bit_or(mask) AS mask"))
+# Edges from which on their sides are stored clustered; below, a level is joined by broadcasting whichever side is small.
+CLUSTERED_EDGES = 5_000_000
+
+
+class Sides:
+    """Edges by table name only, each direction written once for a walk from its tables and once for one from its jobs.
+
+    A key that is hot in one of the four is salted there. Large sides are stored clustered by the column that the walk comes
+    from, so that a hop shuffles its level and the jobs it reaches but no edges.
+    """
+
+    def __init__(self, sides: EdgeSides, clustered: bool, rows_per_salt: int) -> None:
+        self.clustered = clustered
+        self.rows_per_salt = rows_per_salt
+        self.names = {
+            "read": cut(sides.reads.select("job_id", "table_name").distinct()),
+            "write": cut(sides.writes.select("job_id", "table_name").distinct()),
+        }
+        counts = [
+            rows.groupBy(F.col(key).alias("key")).count().select(F.lit(f"{way} {key}").alias("side"), "count")
+            for way, rows in self.names.items()
+            for key in ("job_id", "table_name")
+        ]
+        most = reduce(DataFrame.unionByName, counts).groupBy("side").agg(F.max("count").alias("most"))
+        self.hot = {r.side for r in most.where(F.col("most") > rows_per_salt).collect()}
+        self.known: dict[str, tuple[DataFrame, DataFrame | None]] = {}
+
+    def joined(self, light: DataFrame, way: str, key: str) -> DataFrame:
+        """The light rows joined to one direction on ``key``."""
+        name = f"{way} {key}"
+        if name not in self.known:
+            rows, hot = self.names[way], None
+            if name in self.hot:
+                hot = cut(hot_keys(rows, key, self.rows_per_salt))
+                rows = salted(rows, key, hot, ["job_id", "table_name"])
+                rows = rows if self.clustered else cut(rows)
+            if self.clustered:
+                rows = cut_clustered(rows, [key, *["salt"] * (hot is not None)])
+            self.known[name] = rows, hot
+        rows, hot = self.known[name]
+        return light.join(rows, key) if hot is None else matched(light, key, hot).join(rows, [key, "salt"])
 
 
 def _minus(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,39 +109,39 @@ def _minus(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def lineage_dag(edges: DataFrame, foci: DataFrame, depth: int = DEFAULT_DEPTH) -> Dag:
+def lineage_dag(
+    edges: DataFrame | EdgeSides, foci: DataFrame, depth: int = DEFAULT_DEPTH,
+    clustered_edges: int = CLUSTERED_EDGES, rows_per_salt: int = ROWS_PER_SALT,
+) -> Dag:
     """Walk down, then up, up to ``depth`` jobs each way (clamped to 1..4).
 
     Jobs and tables of the down walk are not available to the up walk.
     """
     depth = max(MIN_DEPTH, min(depth, MAX_DEPTH))
-    sides = edge_sides(edges)
-    reads = sides.reads.drop("database_name").distinct()
-    writes = sides.writes.select("job_id", "table_name").distinct()
-    hot_reads = sides.hot_tables
+    sides = edges if isinstance(edges, EdgeSides) else edge_sides(edges)
+    names = Sides(sides, sides.n_edges >= clustered_edges, rows_per_salt)
     numbered = number_foci(foci)
     levels = Levels(numbered.sparkSession, LEVEL)
     levels.add(numbered.select("block", "table_name", "mask"), 0)
+    merged = F.expr("bit_or(mask) AS mask")
 
-    def walk(inbound, outbound, hot, blocked_jobs, sign) -> DataFrame:
+    def touching(level: DataFrame, way: str) -> DataFrame:
+        return names.joined(level.drop("hop"), way, "table_name").groupBy("block", "job_id").agg(merged)
+
+    def walk(inbound: str, outbound: str, blocked_jobs: DataFrame | None, sign: int) -> DataFrame:
         reached = [0]
         for hop in range(1, depth + 1):
-            jobs = _touching(levels.read(reached[-1]).drop("hop"), inbound, hot)
+            jobs = touching(levels.read(reached[-1]), inbound)
             if blocked_jobs is not None:
                 jobs = _minus(jobs, blocked_jobs, ["block", "job_id"])
-            out = jobs.join(outbound, "job_id").groupBy("block", "table_name").agg(
-                F.expr("bit_or(mask) AS mask")
-            )
+            out = names.joined(jobs, outbound, "job_id").groupBy("block", "table_name").agg(merged)
+            reached.append(sign * hop)
             if levels.add(_minus(out, levels.read(), ["block", "table_name"]), sign * hop) == 0:
-                reached.append(sign * hop)
                 break
-            reached.append(sign * hop)
-        walked = reached[:-1]
-        return _touching(levels.read(*walked).drop("hop"), inbound, hot)
+        return touching(levels.read(*reached[:-1]), inbound)
 
-    down_jobs = cut(walk(reads, writes, hot_reads, None, 1))
-    plain_reads = reads.select("job_id", "table_name").distinct()
-    up_jobs = _minus(walk(writes, plain_reads, None, down_jobs, -1), down_jobs, ["block", "job_id"])
+    down_jobs = cut(walk("read", "write", None, 1))
+    up_jobs = _minus(walk("write", "read", down_jobs, -1), down_jobs, ["block", "job_id"])
     placed = levels.read().withColumnRenamed("hop", "layer")
     return Dag(numbered, placed, cut(down_jobs.unionByName(up_jobs)), sides)
 
@@ -96,27 +151,21 @@ def dag_tables(dag: Dag) -> DataFrame:
     return named_foci(by_focus(dag.placed.select("block", "table_name", "layer", "mask")), dag.foci)
 
 
-def _edges_of_jobs(dag: Dag, edges: DataFrame) -> DataFrame:
-    """Edges of the walked jobs on placed tables: (block, job_id, table_name, direction, database_name, mask)."""
-    wanted = edges.select("job_id", "table_name", "direction", "database_name").distinct()
-    touched = dag.jobs.join(wanted, "job_id")
-    placed = dag.placed.groupBy("block", "table_name").agg(F.expr("bit_or(mask) AS placed"))
-    return touched.join(placed, ["block", "table_name"]).selectExpr(
-        "block", "job_id", "table_name", "direction", "database_name", "mask & placed AS mask"
-    ).where("mask != 0")
-
-
-def diagram_databases(dag: Dag, edges: DataFrame, tables: DataFrame) -> DataFrame:
+def diagram_databases(dag: Dag, tables: DataFrame) -> DataFrame:
     """(focus, table_name, database_name): the focus's own, else from edges, else from the catalog.
 
     Where edges or the catalog name several databases, the smallest one is taken.
     """
-    on_edges = _edges_of_jobs(dag, edges).where("database_name <> ''").groupBy(
+    on_edges = dag.touched.where("database_name <> ''").groupBy(
         "block", "table_name", "database_name"
     ).agg(F.expr("bit_or(mask) AS mask"))
-    from_edges = by_focus(on_edges).groupBy("focus", "table_name").agg(
-        F.min("database_name").alias("edge_database")
-    )
+    # A focus's bit stays with the first database of the table only, before bits become rows.
+    first = on_edges.selectExpr(
+        "block", "table_name", "database_name AS edge_database",
+        """mask & ~coalesce(bit_or(mask) OVER (PARTITION BY block, table_name ORDER BY database_name
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS mask""",
+    ).where("mask != 0")
+    from_edges = by_focus(first)
     from_catalog = tables.groupBy(F.col("name").alias("table_name")).agg(
         F.min("database_name").alias("catalog_database")
     )
@@ -161,10 +210,9 @@ def job_flows(edges: DataFrame, reads_per_salt: int = READS_PER_SALT) -> DataFra
     return _paired(source, target, ["job_id"], reads_per_salt)
 
 
-def dag_arrow_jobs(dag: Dag, edges: DataFrame, jobs: DataFrame) -> DataFrame:
+def dag_arrow_jobs(dag: Dag, jobs: DataFrame) -> DataFrame:
     """(focus, source, target, label): arrows between placed tables, one row per job label."""
-    touched = _edges_of_jobs(dag, edges).drop("database_name")
-    merged = touched.groupBy("block", "job_id", "table_name", "direction").agg(
+    merged = dag.touched.groupBy("block", "job_id", "table_name", "direction").agg(
         F.expr("bit_or(mask) AS mask")
     )
     source = merged.where("direction = 'read'").selectExpr(
@@ -182,12 +230,12 @@ def dag_arrow_jobs(dag: Dag, edges: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def dag_arrows(dag: Dag, edges: DataFrame, jobs: DataFrame, tables: DataFrame) -> DataFrame:
+def dag_arrows(dag: Dag, jobs: DataFrame, tables: DataFrame) -> DataFrame:
     """(focus_database, focus_table, source_key, target_key, part, jobs)."""
-    keys = diagram_databases(dag, edges, tables).select(
+    keys = diagram_databases(dag, tables).select(
         "focus", "table_name", table_key(F.col("database_name"), F.col("table_name")).alias("key")
     )
-    arrows = dag_arrow_jobs(dag, edges, jobs)
+    arrows = dag_arrow_jobs(dag, jobs)
     keyed = arrows.join(
         keys.selectExpr("focus", "table_name AS source", "key AS source_key"), ["focus", "source"]
     ).join(
@@ -197,12 +245,19 @@ def dag_arrows(dag: Dag, edges: DataFrame, jobs: DataFrame, tables: DataFrame) -
     return named_foci(merged, dag.foci)
 
 
-def _focus_edges(foci: DataFrame, join_edges: DataFrame) -> DataFrame:
-    """Join edges of each focus: (focus_database, focus_table, edge columns)."""
+@dataclass(frozen=True)
+class FocusEdges:
+    """Join edges of each focus, written once for all parts of a diagram: (focus_database, focus_table, edge columns)."""
+
+    edges: DataFrame
+
+
+def focus_edges(foci: DataFrame, join_edges: DataFrame | FocusEdges) -> FocusEdges:
+    if isinstance(join_edges, FocusEdges):
+        return join_edges
     focus = foci.selectExpr("database_name AS focus_database", "table_name AS focus_name").distinct()
-    return focus.join(
-        join_edges_of_tables(join_edges, foci), F.expr("focus_name = focus_table")
-    ).drop("focus_name")
+    own = focus.join(join_edges_of_tables(join_edges, foci), F.expr("focus_name = focus_table"))
+    return FocusEdges(cut(own.drop("focus_name")))
 
 
 def _edge_ends(focus_edges: DataFrame) -> DataFrame:
@@ -215,9 +270,9 @@ def _edge_ends(focus_edges: DataFrame) -> DataFrame:
     )
 
 
-def erd_databases(foci: DataFrame, join_edges: DataFrame, tables: DataFrame) -> DataFrame:
+def erd_databases(foci: DataFrame, join_edges: DataFrame | FocusEdges, tables: DataFrame) -> DataFrame:
     """(focus_database, focus_table, table_name, database_name, catalog_database) of diagram tables."""
-    ends = _edge_ends(_focus_edges(foci, join_edges)).groupBy(
+    ends = _edge_ends(focus_edges(foci, join_edges).edges).groupBy(
         "focus_database", "focus_table", "table_name"
     ).agg(F.expr("min(nullif(database_name, '')) AS edge_database"))
     own = foci.selectExpr(
@@ -236,13 +291,14 @@ def erd_databases(foci: DataFrame, join_edges: DataFrame, tables: DataFrame) ->
     )
 
 
-def erd_rows(foci: DataFrame, join_edges: DataFrame, tables: DataFrame) -> DataFrame:
+def erd_rows(foci: DataFrame, join_edges: DataFrame | FocusEdges, tables: DataFrame) -> DataFrame:
     """Column rows of the join diagram's cards: partition keys first, then join columns.
 
     (focus_database, focus_table, table_name, is_partition, position, column_name). Partition
     keys are in declared position; join columns are in name order and have position null.
     """
-    cards = erd_databases(foci, join_edges, tables)
+    own = focus_edges(foci, join_edges)
+    cards = cut(erd_databases(foci, own, tables))
     keys = partition_columns(tables).selectExpr(
         "database_name AS key_database", "table_name AS key_table", "position", "column_name"
     )
@@ -252,7 +308,7 @@ def erd_rows(foci: DataFrame, join_edges: DataFrame, tables: DataFrame) -> DataF
         "focus_database", "focus_table", "table_name", F.lit(True).alias("is_partition"),
         "position", "column_name",
     )
-    columns = _edge_ends(_focus_edges(foci, join_edges)).select(
+    columns = _edge_ends(own.edges).select(
         "focus_database", "focus_table", "table_name", "column_name"
     ).distinct()
     taken = partitions.selectExpr(
@@ -276,14 +332,15 @@ def erd_join_columns(foci: DataFrame, join_edges: DataFrame, tables: DataFrame)
 
 
 def erd_arrows(
-    foci: DataFrame, join_edges: DataFrame, jobs: DataFrame, tables: DataFrame
+    foci: DataFrame, join_edges: DataFrame | FocusEdges, jobs: DataFrame, tables: DataFrame
 ) -> DataFrame:
     """Arrows between columns: (focus_database, focus_table, left_key, left_column, right_key, right_column, part, jobs)."""
-    keys = erd_databases(foci, join_edges, tables).select(
+    own = focus_edges(foci, join_edges)
+    keys = erd_databases(foci, own, tables).select(
         "focus_database", "focus_table", "table_name",
         table_key(F.col("database_name"), F.col("table_name")).alias("key"),
     )
-    edges = with_label(_focus_edges(foci, join_edges), jobs)
+    edges = with_label(own.edges, jobs)
     for side in ("left", "right"):
         renamed = keys.selectExpr(
             "focus_database AS d", "focus_table AS f", "table_name AS t", f"key AS {side}_key"

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.scratch import cut, cut_counted
 
 ROWS_PER_SALT = 2_000_000
 ITEMS_PER_PART = 10_000
@@ -77,12 +77,14 @@ def listed(df: DataFrame, keys: Sequence[str], item: str, *, page: int = ITEMS_P
     Items may be structs; they sort field by field. Only groups of more than one page are numbered.
     """
     rows = cut(df.select(*keys, F.col(item).alias("item")))
-    large = cut(
+    large, n_large = cut_counted(
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > page)
         .select(*[F.col(k).alias(f"large_{k}") for k in keys])
     )
+    if n_large == 0:
+        return rows.groupBy(*keys).agg(F.expr("array_sort(collect_list(item)) AS items")).select(*keys, F.lit(0).alias("part"), "items")
     is_large = F.expr(_same(keys, "large_"))
     single = rows.join(large, is_large, "left_anti").withColumn("part", F.lit(0))
     paged = _paged(rows.join(large, is_large, "left_semi"), keys, page)

@@ -1169,7 +1169,7 @@ def lineage_dag(spark: SparkSession, sf: str) -> DataFrame:
 def diagram_databases(spark: SparkSession, sf: str) -> DataFrame:
     edges = view(spark, sf, "lk_edges")
     dag = diagram.lineage_dag(edges, view(spark, sf, "lk_watch"))
-    rows = diagram.diagram_databases(dag, edges, view(spark, sf, "lk_tables"))
+    rows = diagram.diagram_databases(dag, view(spark, sf, "lk_tables"))
     return named_foci(rows, dag.foci)
 
 
@@ -1187,7 +1187,7 @@ def diagram_databases(spark: SparkSession, sf: str) -> DataFrame:
 def dag_arrows(spark: SparkSession, sf: str) -> DataFrame:
     edges = view(spark, sf, "lk_edges")
     dag = diagram.lineage_dag(edges, view(spark, sf, "lk_watch"))
-    return diagram.dag_arrows(dag, edges, view(spark, sf, "lk_jobs"), view(spark, sf, "lk_tables"))
+    return diagram.dag_arrows(dag, view(spark, sf, "lk_jobs"), view(spark, sf, "lk_tables"))
 
 
 VERDICT = f"""WITH {cs.foci(WATCH)}, {cs.JOIN_REFS}, hd AS (
@@ -1230,6 +1230,7 @@ def delete_verdict(spark: SparkSession, sf: str) -> DataFrame:
 )
 def join_diagram(spark: SparkSession, sf: str) -> DataFrame:
     foci, joins, tables = _erd_inputs(spark, sf)
+    joins = diagram.focus_edges(foci, joins)
     arrows = diagram.erd_arrows(foci, joins, view(spark, sf, "lk_jobs"), tables).selectExpr(
         "focus_database", "focus_table", "'arrow' AS kind", "left_key", "left_column", "right_key",
         "right_column", "part", "jobs AS detail",

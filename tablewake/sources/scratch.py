@@ -38,6 +38,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Remove all scratch tables of this session. DataFrames that read them end with it."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("clustered_") and not table.isTemporary:
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
     remove(spark, scratch_root(spark))
 
 
@@ -53,6 +56,20 @@ def cut_counted(df: DataFrame, partition_by: str | None = None) -> tuple[DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path), size
 
 
+def cut_clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Like :func:`cut`, clustered: joins on ``keys`` read the table as it lies and shuffle only their other side.
+
+    There are as many buckets as shuffle partitions. The table is known to the session by a name of its own; its files lie in
+    the shared folder like those of any other table and go with them.
+    """
+    spark = df.sparkSession
+    path, n = new_path(spark, "clustered"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows = df.repartition(n, *keys).sortWithinPartitions(*keys)
+    rows.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def write_counted(df: DataFrame, path: str, partition_by: str | None = None) -> int:
     seen = Observation()
     df.observe(seen, F.expr("count(1) AS n")).write.parquet(path, partitionBy=partition_by)

@@ -202,3 +202,14 @@ def test_verdicts_agree_with_direct_readers(make, rows):
         key=repr,
     )
     assert rows(dep.direct_readers(edges, foci)) == [("d", "a", "j1")]
+
+
+def test_hot_names_of_join_references_are_salted_without_a_change(make, rows):
+    joins = make.joins(
+        *[(f"j{i}", "d", "hub", "id", None if i % 3 else "d", f"t{i % 5}", "id") for i in range(60)],
+        ("self", "d", "hub", "a", None, "hub", "b"), ("back", "x", "t1", "id", "d", "hub", "id"), ("null", "d", "hub", "id", "d", None, "id"),
+    )
+    foci = make.foci(("d", "hub"), (None, "t1"), ("d", "t2"), ("d", "none"))
+    plain = rows(dep.join_refs(joins, foci))
+    assert rows(dep.join_refs(joins, foci, rows_per_salt=7)) == plain
+    assert ("d", "hub", "back", "x", "t1", "t1 = hub") in plain and not any(r[2] in ("self", "null") for r in plain)

@@ -69,7 +69,7 @@ def test_lineage_arrows_and_databases(make, rows):
     dag, _ = layers(make, CHAIN)
     edges = make.edges(*CHAIN)
     tables = make.tables(("cat", "t4"), ("a", "focus"))
-    arrows = diagram.dag_arrows(dag, edges, make.jobs(("dn1", "glue", "down")), tables)
+    arrows = diagram.dag_arrows(dag, make.jobs(("dn1", "glue", "down")), tables)
     assert rows(arrows, "source_key", "target_key", "jobs") == [
         ("a.focus", "a.t3", "glue: down"), ("a.t0", "a.t1", "up2"), ("a.t1", "a.focus", "up1"),
         ("a.t3", "cat.t4", "dn2"),
@@ -104,3 +104,30 @@ def test_job_flows_of_a_hot_job(make, rows):
     flows = diagram.job_flows(make.edges(*edges), reads_per_salt=4)
     want = [("hot", f"r{i}", f"w{k}") for i in range(20) for k in range(3)] + [("cold", "r1", "w1")]
     assert rows(flows, "job_id", "source", "target") == sorted(want)
+
+
+def test_clustered_and_salted_sides_give_the_same_diagram(spark, make, rows):
+    edges = make.edges(
+        *[(f"r{i}", "read", "d", "hub") for i in range(30)], *[(f"r{i}", "write", "d", f"t{i % 4}") for i in range(30)],
+        *[("w", "write", "d", f"u{i}") for i in range(20)], ("w", "read", None, "t1"), ("up", "write", "d", "hub"), ("up", "read", "d", "raw"),
+    )
+    foci = make.foci(("d", "hub"), ("d", "t1"))
+    plain = rows(diagram.dag_tables(diagram.lineage_dag(edges, foci)))
+    dag = diagram.lineage_dag(edges, foci, clustered_edges=0, rows_per_salt=5)
+    assert rows(diagram.dag_tables(dag)) == plain and len(plain) > 25
+    tables, jobs = make.tables(("d", "hub")), make.jobs(("w", "glue", "wide"))
+    assert rows(diagram.dag_arrows(dag, jobs, tables)) == rows(diagram.dag_arrows(diagram.lineage_dag(edges, foci), jobs, tables))
+
+
+def test_a_hop_does_not_shuffle_clustered_edges(spark, make):
+    edges = make.edges(("j", "read", "d", "a"), ("j", "write", "d", "b"))
+    sides = diagram.Sides(diagram.edge_sides(edges), True, 10)
+    level = spark.createDataFrame([(0, "a", 1)], "block long, table_name string, mask long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = sides.joined(level, "read", "table_name")
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in text

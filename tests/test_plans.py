@@ -52,7 +52,7 @@ def test_no_nested_loop_joins(make, no_broadcast):
         "items": dep.report_items(result, joins, jobs, tables),
         "radius": dep.blast_radius(result, joins),
         "layers": dep.lineage_layers(result, tables),
-        "arrows": diagram.dag_arrows(dag, edges, jobs, tables),
+        "arrows": diagram.dag_arrows(dag, jobs, tables),
         "erd": diagram.erd_arrows(foci, joins, jobs, tables),
     }
     for name, df in frames.items():
