@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from typing import TYPE_CHECKING
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-if TYPE_CHECKING:
-    import pandas as pd
-
 EXTRACTION = """struct<
     table_edges:array<struct<database:string,table:string,direction:string,is_dynamic:boolean,evidence:string>>,
     join_edges:array<struct<left_database:string,left_table:string,left_column:string,
@@ -63,24 +62,37 @@ def stale_jobs(fresh: DataFrame, cached: DataFrame) -> DataFrame:
     return fresh.join(stored, same, "left_anti").select("job_id", "cache_key").distinct()
 
 
-def render_prompt(jobs: DataFrame, files: DataFrame) -> DataFrame:
-    """(job_id, name, part, content): one prompt per job, its header and all its files in path order.
+# Characters of a file in one page of a prompt.
+PAGE_CHARS = 1 << 20
+
+#: The kinds of a prompt's pages, in order.
+HEADER, FILE, RETRY = 0, 1, 2
+
+
+def render_prompt(jobs: DataFrame, files: DataFrame, page_chars: int = PAGE_CHARS) -> DataFrame:
+    """Prompts in pages: (job_id, name, kind, path, piece, content).
 
-    A prompt is the argument of one extractor call, so a job's files meet in one row; ``part`` is always 0.
+    A job's pages in the order of (kind, path, piece) joined together are its prompt: a header (kind 0, path ''), then its files in
+    path order (kind 1), each a page, or several for a file longer than ``page_chars``. Jobs without files have no pages.
+    No row holds more than a page, and nothing is grouped: a job may have any number of files.
     """
-    wrapped = F.concat(F.lit("<file path="), "path", F.lit(">\n"), "contents", F.lit("\n</file>"))
-    bodies = files.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("path", wrapped.alias("text")))).alias("files")
-    )
     header = F.concat(
         F.lit("job name: "), "name", F.lit("\njob type: "), "type", F.lit("\nruntime: "),
         F.coalesce(F.nullif("runtime", F.lit("")), F.lit("unknown")),
     )
     known = jobs.select(F.col("id").alias("job_id"), "name", header.alias("header"))
-    body = F.array_join(F.transform("files", lambda f: f["text"]), "\n\n")
-    return bodies.join(known, "job_id").select(
-        "job_id", "name", F.lit(0).alias("part"), F.concat_ws("\n\n", "header", body).alias("content")
+    heads = known.join(files.select("job_id"), "job_id", "left_semi").select(
+        "job_id", "name", F.lit(HEADER).alias("kind"), F.lit("").alias("path"), F.lit(0).alias("piece"), F.col("header").alias("content")
+    )
+    last = F.greatest(F.lit(0), F.ceil(F.length("contents") / page_chars).cast("int") - 1)
+    pieces = files.select("job_id", "path", "contents", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    before = F.when(F.col("piece") == 0, F.concat(F.lit("\n\n<file path="), "path", F.lit(">\n"))).otherwise("")
+    after = F.when(F.col("piece") == F.col("last"), "\n</file>").otherwise("")
+    part = F.substring("contents", F.col("piece") * page_chars + 1, F.lit(page_chars))
+    bodies = pieces.join(known.drop("header"), "job_id").select(
+        "job_id", "name", F.lit(FILE).alias("kind"), "path", "piece", F.concat(before, part, after).alias("content")
     )
+    return heads.unionByName(bodies)
 
 
 def _text(value: Column, field: str) -> Column:
@@ -177,57 +189,96 @@ def anchored(edges: DataFrame, joins: DataFrame) -> DataFrame:
     ).select(*joins.columns)
 
 
-# An extractor maps (job name, prompt) to extraction JSON; it runs inside tasks.
-Extractor = Callable[[str, str], str]
+# An extractor maps (job name, the pages of its prompt in order) to extraction JSON; it runs inside tasks.
+Extractor = Callable[[str, Iterator[str]], str]
+
+CALLED = "job_id string, name string, extraction string"
 
 
-def _calls(extractor: Extractor) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def on_whole_prompt(extractor: Callable[[str, str], str]) -> Extractor:
+    """An extractor for a function of (job name, prompt) that needs the prompt in one piece."""
+
+    def call(name: str, pages: Iterator[str]) -> str:
+        return extractor(name, "".join(pages))
+
+    return call
+
+
+def _calls(extractor: Extractor) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
         for batch in batches:
-            out = batch[["job_id", "name", "part"]].copy()
-            out["extraction"] = [
-                extractor(name, content)
-                for name, content in zip(batch["name"], batch["content"], strict=True)
-            ]
-            yield out
-    return run
+            yield from zip(*(c.to_pylist() for c in batch.select(["job_id", "name", "content"]).columns), strict=True)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (job_id, name), pages in groupby(rows(batches), key=itemgetter(0, 1)):
+            answer = extractor(name, map(itemgetter(2), pages))
+            yield pa.RecordBatch.from_pydict({"job_id": [job_id], "name": [name], "extraction": pa.array([answer], pa.string())})
 
-CALLED = "job_id string, name string, part int, extraction string"
+    return run
 
 
-def extract(prompts: DataFrame, extractor: Extractor, partitions: int | None = None) -> DataFrame:
-    """Call the extractor once per prompt: (job_id, name, part, extraction, valid).
+def extract(pages: DataFrame, extractor: Extractor, partitions: int | None = None) -> DataFrame:
+    """Call the extractor once per job: (job_id, name, extraction, valid).
 
-    Prompts are spread over ``partitions`` (the session's shuffle partitions by default), so a lost task repeats
-    few calls; a task makes one call at a time, so the cores of the executors bound the calls in flight. The
+    Jobs are spread over ``partitions`` (the session's shuffle partitions by default) and their pages sorted there, on disk if
+    need be; a call reads its pages from an iterator, so a task holds a batch of pages and not a prompt. A lost task
+    repeats few calls; a task makes one call at a time, so the cores of the executors bound the calls in flight. The
     caller must write the result before using it twice, or the calls are repeated.
     """
-    keys = ("job_id", "part")
-    spread = prompts.repartition(*keys) if partitions is None else prompts.repartition(partitions, *keys)
-    return validated(spread.mapInPandas(_calls(extractor), CALLED))
-
-
-def retry_prompts(prompts: DataFrame, first: DataFrame) -> DataFrame:
-    """Prompts of invalid outputs, with the output and a request for valid JSON appended."""
-    failed = first.where("NOT valid").select("job_id", "part", "extraction")
-    return prompts.join(failed, ["job_id", "part"]).select(
-        "job_id", "name", "part",
-        F.concat(
-            "content", F.lit("\n\n"), F.coalesce("extraction", F.lit("")),
-            F.lit("\n\nThat response does not match the schema. Respond again with only valid JSON."),
-        ).alias("content"),
+    spread = pages.repartition("job_id") if partitions is None else pages.repartition(partitions, "job_id")
+    ordered = spread.sortWithinPartitions("job_id", "kind", "path", "piece")
+    return validated(ordered.select("job_id", "name", "content").mapInArrow(_calls(extractor), CALLED))
+
+
+def retry_prompts(pages: DataFrame, first: DataFrame) -> DataFrame:
+    """Prompts of invalid outputs, with one more page: the output and a request for valid JSON."""
+    failed = first.where("NOT valid")
+    asked = F.concat(
+        F.lit("\n\n"), F.coalesce("extraction", F.lit("")),
+        F.lit("\n\nThat response does not match the schema. Respond again with only valid JSON."),
     )
+    more = failed.select(
+        "job_id", "name", F.lit(RETRY).alias("kind"), F.lit("").alias("path"), F.lit(0).alias("piece"), asked.alias("content")
+    )
+    return pages.join(failed.select("job_id"), "job_id", "left_semi").unionByName(more)
+
+
+def one_per_job(outputs: DataFrame) -> DataFrame:
+    """Outputs (job_id, name, extraction, valid) with those of one job merged: a row per job.
+
+    Equal outputs count once. A job with one output keeps its text. Several valid ones become one document with the distinct
+    edges of all of them, sorted; if one of several is invalid the job is, and shows the smallest invalid text.
+    """
+    loose = EXTRACTION.replace("is_dynamic:boolean", "is_dynamic:string")
+    read = outputs.select("job_id", "name", "extraction", "valid").distinct()
+    jobs = read.groupBy("job_id", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("extraction").alias("only"), F.bool_and("valid").alias("valid"),
+        F.min(F.when(~F.col("valid"), F.col("extraction"))).alias("invalid"),
+        F.collect_list(F.when(F.col("valid"), F.from_json("extraction", loose))).alias("documents"),
+    )
+    of = lambda field: F.flatten(F.filter(F.transform("documents", lambda d: d[field]), lambda edges: edges.isNotNull()))
+    plain = F.transform(of("table_edges"), lambda e: e.withField("is_dynamic", F.lower(e["is_dynamic"]).isin(*TRUE_TEXTS)))
+    every = F.struct(
+        F.array_sort(F.array_distinct(plain)).alias("table_edges"), F.array_sort(F.array_distinct(of("join_edges"))).alias("join_edges")
+    )
+    merged = F.to_json(every, {"ignoreNullFields": "false"})
+    text = F.when(F.col("n") == 1, F.col("only")).when(F.col("valid"), merged).otherwise(F.col("invalid"))
+    return jobs.select("job_id", "name", text.alias("extraction"), "valid")
 
 
 def fixture_extractions(jobs: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Canned extractions by job name: (job_id, name, part, extraction, valid)."""
-    numbered = fixtures.select("name", "extraction")
-    return validated(
-        jobs.select(F.col("id").alias("job_id"), "name").join(numbered, "name").select(
-            "job_id", "name", F.lit(0).alias("part"), "extraction"
-        )
+    """Canned extractions by job name, one per job: (job_id, name, extraction, valid, reason).
+
+    A job without one is invalid; ``reason`` says why a row is.
+    """
+    named = jobs.select(F.col("id").alias("job_id"), "name")
+    found = one_per_job(validated(named.join(fixtures.select("name", "extraction"), "name")))
+    missing = missing_fixtures(jobs, fixtures).select(
+        "job_id", "name", F.lit(None).cast("string").alias("extraction"), F.lit(False).alias("valid"),
+        F.concat(F.lit("no fixture named "), "name").alias("reason"),
     )
+    broken = F.when(~F.col("valid"), F.lit("does not match the schema")).alias("reason")
+    return found.select("job_id", "name", "extraction", "valid", broken).unionByName(missing)
 
 
 def missing_fixtures(jobs: DataFrame, fixtures: DataFrame) -> DataFrame:

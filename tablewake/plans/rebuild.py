@@ -12,12 +12,12 @@ from ..operators import extraction as ex
 from ..sources import inventory, snapshot
 from ..sources.scratch import cut
 
-# An edge source takes (stale jobs, prompts) and returns (job_id, name, part, extraction, valid).
+# An edge source takes (stale jobs, pages of their prompts) and returns (job_id, name, extraction, valid), for a job any number of them.
 EdgeSource = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def by_extractor(extractor: ex.Extractor, partitions: int | None = None) -> EdgeSource:
-    """An extractor function called in tasks, with one retry for invalid output."""
+    """An extractor of a prompt's pages, called in tasks, with one retry for invalid output."""
 
     def run(jobs: DataFrame, prompts: DataFrame) -> DataFrame:
         first = cut(ex.extract(prompts, extractor, partitions))
@@ -31,10 +31,7 @@ def by_fixture(fixtures: DataFrame) -> EdgeSource:
     """Canned extractions (name, extraction). A job without one counts as invalid output, so it is rejected."""
 
     def run(jobs: DataFrame, prompts: DataFrame) -> DataFrame:
-        missing = ex.missing_fixtures(jobs, fixtures).selectExpr(
-            "job_id", "name", "0 AS part", "CAST(NULL AS STRING) AS extraction", "false AS valid"
-        )
-        return ex.fixture_extractions(jobs, fixtures).unionByName(missing)
+        return ex.fixture_extractions(jobs, fixtures).drop("reason")
 
     return run
 
@@ -51,7 +48,7 @@ def sync_edges(
     """Extract the jobs whose sources changed and merge their edges into the old ones.
 
     ``old`` has job_extractions, job_table_edges and table_join_edges under current job ids.
-    Returns those three, plus ``extracted`` (job_id of every re-extracted job) and
+    The outputs of a job are merged first, so it has one stored extraction. Returns those three, plus ``extracted`` (job_id of every re-extracted job) and
     ``rejected`` (jobs whose output stayed invalid; they keep their earlier rows).
     Ignored jobs and jobs without sources keep their earlier rows too.
     """
@@ -64,10 +61,10 @@ def sync_edges(
     stale_ids = stale.select(F.col("job_id").alias("id"))
     stale_rows = eligible.join(stale_ids, "id", "left_semi")
     stale_files = files.join(stale.select("job_id"), "job_id", "left_semi")
-    output = cut(edge_source(stale_rows, ex.render_prompt(stale_rows, stale_files)))
-    rejected = output.where("NOT valid").select("job_id").distinct()
-    accepted = output.join(rejected, "job_id", "left_anti")
-    done = stale.join(accepted.select("job_id").distinct(), "job_id", "left_semi")
+    output = cut(ex.one_per_job(edge_source(stale_rows, ex.render_prompt(stale_rows, stale_files))))
+    rejected = output.where("NOT valid").select("job_id")
+    accepted = output.where("valid").select("job_id", "extraction")
+    done = stale.join(accepted.select("job_id"), "job_id", "left_semi")
 
     edges = ex.table_edges(accepted)
     joins = ex.anchored(edges, ex.join_edges(accepted))

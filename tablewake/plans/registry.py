@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,35 @@ def start() -> F.Column:
     return F.expr("CAST('2024-01-15 00:00:00' AS TIMESTAMP_NTZ)")
 
 
+#: Columns by which the contents of catalog tables are compared.
+CONTENT = {
+    "databases": ("name",),
+    "tables": ("database_name", "name"),
+    "jobs": ("id", "type", "name", "runtime"),
+    "job_artifacts": ("job_id", "reference"),
+    "job_extractions": ("job_id",),
+    "job_table_edges": ("job_id", "database_name", "table_name", "direction", "is_dynamic", "evidence"),
+    "table_join_edges": (
+        "job_id", "left_database", "left_table", "left_column", "right_database", "right_table", "right_column", "evidence",
+    ),
+    "extracted": ("job_id",),
+}
+
+
+def content_of(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, n, content): rows, and a sum of their hashes that any change of a row changes."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in CONTENT[table]))
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(18,0)")
+    total = F.coalesce(F.sum(part), F.lit(0).cast("decimal(28,0)")).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n"), total.alias("content")).select(F.lit(table).alias("table_name"), "n", "content")
+
+
+def content_sql(source: str, table: str) -> str:
+    text = f"concat_ws('|', {', '.join(f'coalesce(CAST({c} AS VARCHAR), {chr(39)}?{chr(39)})' for c in CONTENT[table])})"
+    part = f"CAST('0x' || substr(sha256({text}), 1, 12) AS BIGINT)"
+    return f"SELECT '{table}' AS table_name, count(*) AS n, CAST(coalesce(sum({part}), 0) AS VARCHAR) AS content FROM {source} AS c_{table}"
+
+
 # ---------------------------------------------------------------- scans, sources, sinks
 
 
@@ -215,28 +245,25 @@ def _all_tables(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return full
 
 
-@query(
-    "write_snapshot",
-    """SELECT 'databases' AS table_name, count(*) AS n, 1 AS snapshot FROM lk_databases
-       UNION ALL SELECT 'tables', count(*), 1 FROM lk_tables
-       UNION ALL SELECT 'jobs', count(*), 1 FROM lk_jobs
-       UNION ALL SELECT 'job_table_edges', count(*), 1 FROM lk_edges
-       UNION ALL SELECT 'table_join_edges', count(*), 1 FROM lk_join_edges""",
-)
+SNAPSHOT_SOURCES = {
+    "databases": "lk_databases", "tables": "lk_tables", "jobs": "lk_jobs",
+    "job_artifacts": "(SELECT 'job_' || doc_id AS job_id, 's3://code/' || source AS reference FROM documents)",
+    "job_extractions": "(SELECT DISTINCT job_id FROM lk_files)", "job_table_edges": "lk_edges", "table_join_edges": "lk_join_edges",
+}
+
+
+@query("write_snapshot", "SELECT *, 1 AS snapshot FROM (" + " UNION ALL ".join(content_sql(s, t) for t, s in SNAPSHOT_SOURCES.items()) + ") AS z")
 def write_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     root = new_path(spark, "catalog")
-    tables = _all_tables(_small_catalog(spark, sf))
+    artifacts = base(spark, sf, "documents").selectExpr("concat('job_', doc_id) AS job_id", "concat('s3://code/', source) AS reference")
+    extractions = view(spark, sf, "lk_files").select("job_id").distinct()
+    tables = _all_tables({**_small_catalog(spark, sf), "job_artifacts": artifacts, "job_extractions": extractions})
     snapshot.write_snapshot(spark, root, {name: df.where("false") for name, df in tables.items()})
     snapshot.write_snapshot(spark, root, tables)
     number = snapshot.current_snapshot(spark, root)
     read = snapshot.read_snapshot(spark, root)
-    counts = None
-    for name in _small_catalog(spark, sf):
-        one = read[name].agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"), "n", F.lit(number).cast("int").alias("snapshot")
-        )
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    rows = reduce(DataFrame.unionByName, (content_of(read[name], name) for name in SNAPSHOT_SOURCES))
+    return rows.withColumn("snapshot", F.lit(number).cast("int"))
 
 
 @query("snapshot_age", "SELECT count(*) AS n_jobs, true AS fresh FROM lk_jobs")
@@ -663,11 +690,15 @@ stale AS MATERIALIZED (
 
 @query(
     "render_prompt",
-    f"""WITH {OWN_FILES} SELECT f.job_id, j.name, 0 AS part, 'job name: ' || j.name || chr(10) || 'job type: ' || j.type || chr(10)
-           || 'runtime: ' || coalesce(j.runtime, 'unknown') || chr(10) || chr(10) || f.body AS content
-       FROM (SELECT job_id, string_agg('<file path=' || path || '>' || chr(10) || contents || chr(10) || '</file>',
-                    chr(10) || chr(10) ORDER BY path) AS body FROM own GROUP BY job_id) AS f
-       JOIN lk_jobs AS j ON j.id = f.job_id""",
+    f"""WITH {OWN_FILES} SELECT j.id AS job_id, j.name, 0 AS kind, '' AS path, 0 AS piece, 'job name: ' || j.name || chr(10)
+           || 'job type: ' || j.type || chr(10) || 'runtime: ' || coalesce(j.runtime, 'unknown') AS content
+       FROM lk_jobs AS j WHERE j.id IN (SELECT job_id FROM own)
+       UNION ALL
+       SELECT f.job_id, j.name, 1, f.path, CAST(p.piece AS INTEGER), CASE WHEN p.piece = 0 THEN chr(10) || chr(10) || '<file path=' || f.path || '>' || chr(10) ELSE '' END
+         || substr(f.contents, CAST(p.piece * {ex.PAGE_CHARS} + 1 AS BIGINT), {ex.PAGE_CHARS})
+         || CASE WHEN (p.piece + 1) * {ex.PAGE_CHARS} >= length(f.contents) THEN chr(10) || '</file>' ELSE '' END
+       FROM own AS f JOIN lk_jobs AS j ON j.id = f.job_id,
+         LATERAL (SELECT unnest(range(greatest(1, (length(f.contents) + {ex.PAGE_CHARS} - 1) // {ex.PAGE_CHARS}))) AS piece) AS p""",
 )
 def render_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return ex.render_prompt(view(spark, sf, "lk_jobs"), _authored(spark, sf))
@@ -1457,8 +1488,11 @@ def _stand_in_extractor() -> ex.Extractor:
     Its first answer for every prompt whose length is odd is broken.
     """
 
-    def extract(name: str, content: str) -> str:
-        if "does not match the schema" not in content and len(content) % 2:
+    def extract(name: str, pages: Iterator[str]) -> str:
+        length, last = 0, ""
+        for last in pages:
+            length += len(last)
+        if "does not match the schema" not in last and length % 2:
             return "not json"
         return f'{{"table_edges":[{{"database":null,"table":"{name}","direction":"read","is_dynamic":false,"evidence":"x"}}]}}'
 
@@ -1484,10 +1518,28 @@ def _fixtures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fixture_extractor",
-    f"""WITH {VALID_SQL} SELECT j.id AS job_id, j.name, v.extraction, v.valid FROM lk_jobs AS j JOIN val AS v ON v.job_id = j.id""",
+    f"""WITH {EXTRACTED_SQL}, outputs AS (
+          SELECT job_id, bool_and(valid) AS valid, CASE WHEN count(DISTINCT extraction) = 1 THEN min(extraction) END AS only_output FROM val GROUP BY 1),
+        te AS (SELECT job_id, count(*) AS n FROM (SELECT DISTINCT * FROM xt) AS a GROUP BY 1),
+        je AS (SELECT job_id, count(*) AS n FROM (SELECT DISTINCT * FROM xj) AS a GROUP BY 1)
+        SELECT j.id AS job_id, j.name, coalesce(o.valid, false) AS valid, o.only_output,
+          CASE WHEN o.valid THEN coalesce(te.n, 0) END AS n_table_edges, CASE WHEN o.valid THEN coalesce(je.n, 0) END AS n_join_edges,
+          CASE WHEN o.job_id IS NULL THEN 'no fixture named ' || j.name WHEN NOT o.valid THEN 'does not match the schema' END AS reason
+        FROM lk_jobs AS j LEFT JOIN outputs AS o ON o.job_id = j.id LEFT JOIN te ON te.job_id = j.id LEFT JOIN je ON je.job_id = j.id""",
 )
 def fixture_extractor(spark: SparkSession, sf: str) -> DataFrame:
-    return ex.fixture_extractions(view(spark, sf, "lk_jobs"), _fixtures(spark, sf)).drop("part")
+    fixtures = cut(_fixtures(spark, sf))
+    found = cut(ex.fixture_extractions(view(spark, sf, "lk_jobs"), fixtures))
+    counted = F.when(F.col("valid"), F.expr("coalesce(size(edges), 0)")).cast("bigint")
+    sizes = found
+    for kind in ("table", "join"):
+        loose = ex.EXTRACTION.replace("is_dynamic:boolean", "is_dynamic:string")
+        sizes = sizes.withColumn("edges", F.array_distinct(F.from_json("extraction", loose)[f"{kind}_edges"])).withColumn(f"n_{kind}_edges", counted)
+    several = fixtures.distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("merged_name"))
+    only = F.when(F.col("merged_name").isNull(), F.col("extraction")).alias("only_output")
+    return sizes.join(several, F.expr("name = merged_name"), "left").select(
+        "job_id", "name", "valid", only, "n_table_edges", "n_join_edges", "reason"
+    )
 
 
 @query(
@@ -1516,14 +1568,18 @@ rejected AS (SELECT DISTINCT job_id FROM val WHERE NOT valid),
 done AS MATERIALIZED (
   SELECT s.job_id FROM stale AS s WHERE s.job_id IN (SELECT id FROM eligible)
     AND s.job_id IN (SELECT job_id FROM val) AND s.job_id NOT IN (SELECT job_id FROM rejected)),
+te AS MATERIALIZED (SELECT DISTINCT x.* FROM xt AS x JOIN done USING (job_id)),
+known AS MATERIALIZED (SELECT DISTINCT job_id, table_name FROM te),
+je AS MATERIALIZED (
+  SELECT DISTINCT x.* FROM xj AS x JOIN done USING (job_id)
+  JOIN known AS l ON l.job_id = x.job_id AND l.table_name = x.left_table
+  JOIN known AS r ON r.job_id = x.job_id AND r.table_name = x.right_table),
 synced AS (
-  SELECT e.job_id, e.database_name, e.table_name, e.direction FROM lk_edges AS e WHERE e.job_id NOT IN (SELECT job_id FROM done)
-  UNION ALL SELECT x.job_id, x.database_name, x.table_name, x.direction FROM xt AS x WHERE x.job_id IN (SELECT job_id FROM done)),
+  SELECT e.job_id, e.database_name, e.table_name, e.direction FROM lk_edges AS e LEFT JOIN done AS d ON d.job_id = e.job_id WHERE d.job_id IS NULL
+  UNION ALL SELECT job_id, database_name, table_name, direction FROM te),
 synced_joins AS (
-  SELECT job_id, left_table, right_table FROM lk_join_edges WHERE job_id NOT IN (SELECT job_id FROM done)
-  UNION ALL SELECT x.job_id, x.left_table, x.right_table FROM xj AS x WHERE x.job_id IN (SELECT job_id FROM done)
-    AND EXISTS (SELECT 1 FROM xt AS e WHERE e.job_id = x.job_id AND e.table_name = x.left_table)
-    AND EXISTS (SELECT 1 FROM xt AS e WHERE e.job_id = x.job_id AND e.table_name = x.right_table))"""
+  SELECT e.job_id, left_table, right_table FROM lk_join_edges AS e LEFT JOIN done AS d ON d.job_id = e.job_id WHERE d.job_id IS NULL
+  UNION ALL SELECT job_id, left_table, right_table FROM je)"""
 
 
 def _synced(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -1548,7 +1604,9 @@ def _synced(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     "sync_edges",
     f"""{SYNC_SQL} SELECT 'edge' AS kind, job_id, database_name, table_name AS a, direction AS b FROM synced
         UNION ALL SELECT 'join', job_id, NULL, left_table, right_table FROM synced_joins
-        UNION ALL SELECT 'extracted', job_id, NULL, NULL, NULL FROM done""",
+        UNION ALL SELECT 'extracted', job_id, NULL, NULL, NULL FROM done
+        UNION ALL SELECT 'stored', job_id, NULL, NULL, NULL FROM (
+          SELECT job_id FROM stored WHERE job_id NOT IN (SELECT job_id FROM done) UNION ALL SELECT job_id FROM done) AS z""",
 )
 def sync_edges(spark: SparkSession, sf: str) -> DataFrame:
     out = _synced(spark, sf)
@@ -1565,6 +1623,11 @@ def sync_edges(spark: SparkSession, sf: str) -> DataFrame:
                 "'extracted' AS kind", "job_id", f"{none} AS database_name", f"{none} AS a", f"{none} AS b"
             )
         )
+        .unionByName(
+            out["job_extractions"].selectExpr(
+                "'stored' AS kind", "job_id", f"{none} AS database_name", f"{none} AS a", f"{none} AS b"
+            )
+        )
     )
 
 
@@ -1574,16 +1637,21 @@ numbered AS (SELECT j.id AS old_id, n.id, n.name FROM lk_jobs AS j JOIN nj AS n
 done AS MATERIALIZED (
   SELECT DISTINCT n.id AS job_id, n.old_id FROM numbered AS n JOIN own AS o ON o.job_id = n.old_id
   WHERE NOT regexp_matches(n.name, '{IGNORE_JOBS}') AND n.old_id IN (SELECT job_id FROM val)
-    AND n.old_id NOT IN (SELECT job_id FROM val WHERE NOT valid))
-SELECT 'databases' AS table_name, count(*) AS n FROM lk_databases
-UNION ALL SELECT 'tables', count(*) FROM lk_tables
-UNION ALL SELECT 'jobs', count(*) FROM nj
-UNION ALL SELECT 'job_artifacts', count(*) FROM arts
-UNION ALL SELECT 'job_table_edges', count(*) FROM xt JOIN done ON done.old_id = xt.job_id
-UNION ALL SELECT 'table_join_edges', count(*) FROM xj JOIN done ON done.old_id = xj.job_id
-  WHERE EXISTS (SELECT 1 FROM xt AS e WHERE e.job_id = xj.job_id AND e.table_name = xj.left_table)
-    AND EXISTS (SELECT 1 FROM xt AS e WHERE e.job_id = xj.job_id AND e.table_name = xj.right_table)
-UNION ALL SELECT 'extracted', count(*) FROM done"""
+    AND n.old_id NOT IN (SELECT job_id FROM val WHERE NOT valid)),
+te AS MATERIALIZED (
+  SELECT DISTINCT d.job_id, x.database_name, x.table_name, x.direction, x.is_dynamic, x.evidence FROM xt AS x JOIN done AS d ON d.old_id = x.job_id),
+known AS (SELECT DISTINCT job_id, table_name FROM te),
+je AS MATERIALIZED (
+  SELECT DISTINCT d.job_id, x.left_database, x.left_table, x.left_column, x.right_database, x.right_table, x.right_column, x.evidence
+  FROM xj AS x JOIN done AS d ON d.old_id = x.job_id JOIN known AS l ON l.job_id = d.job_id AND l.table_name = x.left_table
+  JOIN known AS r ON r.job_id = d.job_id AND r.table_name = x.right_table)
+""" + " UNION ALL ".join(
+    content_sql(source, table)
+    for table, source in {
+        "databases": "lk_databases", "tables": "lk_tables", "jobs": "nj", "job_artifacts": "arts", "job_extractions": "done",
+        "job_table_edges": "te", "table_join_edges": "je", "extracted": "done",
+    }.items()
+)
 
 
 @query("rebuild_catalog", REBUILD_SQL)
@@ -1600,12 +1668,7 @@ def rebuild_catalog(spark: SparkSession, sf: str) -> DataFrame:
     extracted = rb.rebuild(
         spark, root, raw, files, rb.by_fixture(_fixtures(spark, sf)), MODEL, PROMPT_VERSION, IGNORE_JOBS
     )
-    written = snapshot.read_snapshot(spark, root)
-    shown = ("databases", "tables", "jobs", "job_artifacts", "job_table_edges", "table_join_edges")
-    counts = extracted.agg(F.count(F.lit(1)).alias("n")).select(F.lit("extracted").alias("table_name"), "n")
-    for name in shown:
-        one = written[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
-        counts = counts.unionByName(one)
-    return counts
+    tables = {**snapshot.read_snapshot(spark, root), "extracted": extracted}
+    return reduce(DataFrame.unionByName, (content_of(tables[name], name) for name in CONTENT))
 
 

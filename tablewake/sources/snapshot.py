@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..schemas import AUDIT_LOG, CATALOG
 
+#: A marker without an attempt is that of a snapshot written straight to its number's folder.
+MARKERS = "snapshot bigint, attempt string"
 MARKER = "_current"
 LOG_COLUMNS = (
     "event_id", "database_name", "table_name", "event_name", "event_time", "username", "region", "flagged",
@@ -20,40 +24,58 @@ def _absent(error: AnalysisException) -> bool:
 
 
 def current_snapshot(spark: SparkSession, root: str) -> int | None:
-    """Number of the newest complete snapshot, or None when there is none."""
+    """Number of the newest complete snapshot; None before the first."""
+    last = _current(spark, root)
+    return None if last is None else last[0]
+
+
+def _folder(root: str, number: int, attempt: str | None) -> str:
+    return f"{root}/snapshot={number}" + (f"/attempt={attempt}" if attempt else "")
+
+
+def _current(spark: SparkSession, root: str) -> tuple[int, str | None] | None:
+    """Number and attempt of the newest complete snapshot."""
     try:
-        markers = spark.read.schema("snapshot bigint").json(f"{root}/{MARKER}")
+        markers = spark.read.schema(MARKERS).json(f"{root}/{MARKER}")
     except AnalysisException as error:
         if not _absent(error):
             raise
         return None
-    return markers.agg(F.max("snapshot")).first()[0]
+    row = markers.agg(F.max(F.struct("snapshot", "attempt")).alias("last")).first().last
+    return None if row is None else (row.snapshot, row.attempt)
+
+
+class SnapshotTaken(RuntimeError):
+    """Another writer has completed a snapshot meanwhile."""
 
 
 def write_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
     """Write all tables as a new snapshot; the marker is written last.
 
     Readers follow the marker, so they see the old snapshot or the new one, never a mix, and
-    a run that fails half way leaves the old snapshot current.
+    a run that fails half way leaves the old snapshot current. Each attempt writes to a folder of its own and overwrites nothing;
+    one that finds, before it marks itself, that another has completed a snapshot since it began raises :class:`SnapshotTaken`,
+    since its tables were made from an older one.
     """
-    last = current_snapshot(spark, root)
-    number = 0 if last is None else last + 1
+    last = _current(spark, root)
+    number = 0 if last is None else last[0] + 1
+    attempt = uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/snapshot={number}/{name}")
-    marker = spark.range(1).select(F.lit(number).cast("bigint").alias("snapshot"))
+        df.write.mode("errorifexists").parquet(_folder(root, number, attempt) + f"/{name}")
+    if _current(spark, root) != last:
+        raise SnapshotTaken(f"snapshot {number} of {root} exists")
+    marker = spark.range(1).select(F.lit(number).cast("bigint").alias("snapshot"), F.lit(attempt).alias("attempt"))
     marker.write.mode("append").json(f"{root}/{MARKER}")
     return number
 
 
 def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables of the current snapshot; empty ones when there is no snapshot yet."""
-    number = current_snapshot(spark, root)
-    if number is None:
+    last = _current(spark, root)
+    if last is None:
         return {name: spark.createDataFrame([], ddl) for name, ddl in CATALOG.items()}
-    return {
-        name: spark.read.schema(ddl).parquet(f"{root}/snapshot={number}/{name}")
-        for name, ddl in CATALOG.items()
-    }
+    folder = _folder(root, *last)
+    return {name: spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in CATALOG.items()}
 
 
 def snapshot_age(spark: SparkSession, root: str) -> DataFrame:

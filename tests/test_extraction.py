@@ -55,9 +55,57 @@ def test_prompt_version_follows_instructions_and_schema():
 def test_prompt(make, rows):
     jobs = make.jobs(("j1", "glue", "etl"), ("j2", "lambda", "fn"))
     prompts = ex.render_prompt(jobs, make.frame(FILES, SOURCE_FILES))
-    assert rows(prompts.where("job_id = 'j1'"), "part", "content") == [
-        (0, "job name: etl\njob type: glue\nruntime: unknown\n\n<file path=a.py>\none\n</file>\n\n<file path=b.py>\ntwo\n</file>"),
+    whole = "job name: etl\njob type: glue\nruntime: unknown\n\n<file path=a.py>\none\n</file>\n\n<file path=b.py>\ntwo\n</file>"
+    for pages in (prompts, ex.render_prompt(jobs, make.frame(FILES, SOURCE_FILES), page_chars=2)):
+        own = sorted(pages.where("job_id = 'j1'").collect(), key=lambda r: (r.kind, r.path, r.piece))
+        assert "".join(r.content for r in own) == whole
+    assert max(len(r.content) for r in own if r.kind == ex.FILE) <= 2 + len("\n\n<file path=a.py>\n\n</file>")
+
+
+def test_pages_of_a_large_job_stream_into_one_call(make, rows):
+    jobs = make.jobs(("j1", "glue", "big"), ("j2", "glue", "small"))
+    files = make.frame([("j1", f"f{i:04}.py", f"text {i}") for i in range(3000)] + [("j2", "a.py", ""), ("j2", "b.py", "x" * 50)], SOURCE_FILES)
+
+    def extractor(name, pages):
+        first, n, digest, most = next(pages), 1, hashlib.sha256(), 0
+        assert first.startswith(f"job name: {name}")
+        for page in pages:
+            n, most = n + 1, max(most, len(page))
+            digest.update(page.encode())
+        return json.dumps({"table_edges": [{**EDGE, "table": f"{n} {digest.hexdigest()}"}]}) if most < 60 else "too long"
+
+    out = ex.extract(ex.render_prompt(jobs, files, page_chars=20), extractor, 3)
+    big = "".join(f"\n\n<file path=f{i:04}.py>\ntext {i}\n</file>" for i in range(3000))
+    small = "\n\n<file path=a.py>\n\n</file>\n\n<file path=b.py>\n" + "x" * 50 + "\n</file>"
+    want = [(j, f"{n} {hashlib.sha256(t.encode()).hexdigest()}") for j, n, t in (("j1", 3001, big), ("j2", 5, small))]
+    assert rows(ex.table_edges(out.where("valid")), "job_id", "table_name") == want
+
+
+def test_outputs_of_one_job_become_one_extraction(make, rows):
+    edge = lambda table, dynamic=False: {**EDGE, "table": table, "is_dynamic": dynamic}
+    texts = [
+        ("j1", json.dumps({"table_edges": [edge("t"), edge("u", "yes")]})), ("j1", json.dumps({"table_edges": [edge("t")], "join_edges": [JOIN]})),
+        ("j1", json.dumps({"table_edges": [edge("u", True)]})), ("j2", json.dumps({"table_edges": [edge("t"), edge("t")]})),
+        ("j2", json.dumps({"table_edges": [edge("t"), edge("t")]})), ("j3", json.dumps({})), ("j3", "oops"), ("j4", None),
     ]
+    one = ex.one_per_job(ex.validated(make.frame([(j, j, t) for j, t in texts], "job_id string, name string, extraction string")))
+    got = {r.job_id: r for r in one.collect()}
+    assert len(got) == one.count() == 4
+    assert json.loads(got["j1"].extraction) == {"table_edges": [edge("t"), edge("u", True)], "join_edges": [JOIN]}
+    assert got["j2"].extraction == texts[3][1]
+    assert (got["j3"].valid, got["j3"].extraction, got["j4"].valid) == (False, "oops", False)
+    assert rows(ex.table_edges(one.where("valid")), "job_id", "table_name", "is_dynamic") == [
+        ("j1", "t", False), ("j1", "u", True), ("j2", "t", False), ("j2", "t", False),
+    ]
+
+
+def test_two_fixture_rows_of_a_name_store_one_extraction(spark, make, rows, tmp_path):
+    raw = raw_inventory(spark, make, {"etl": "1"})
+    twice = fixture(make, {"etl": "t1"}).unionByName(fixture(make, {"etl": "t2"}))
+    rb.rebuild(spark, str(tmp_path / "c"), raw, files_of(make, {"etl": "1"}), rb.by_fixture(twice), "m", "v")
+    catalog = read_snapshot(spark, str(tmp_path / "c"))
+    assert catalog["job_extractions"].count() == 1
+    assert rows(catalog["job_table_edges"], "table_name") == [("t1",), ("t2",)]
 
 
 EDGE = {"database": None, "table": "t", "direction": "read", "is_dynamic": False, "evidence": "x"}
@@ -182,6 +230,7 @@ def test_job_without_sources_keeps_its_edges(spark, make, rows):
 
 def test_invalid_output_is_retried_once_then_rejected(make, rows):
     def extractor(name, content):
+        assert content.startswith(f"job name: {name}\n")
         if name == "never" or (name == "late" and "Respond again" not in content):
             return "oops"
         return json.dumps({"table_edges": [{**EDGE, "table": name}]})
@@ -193,7 +242,7 @@ def test_invalid_output_is_retried_once_then_rejected(make, rows):
         "job_table_edges": make.edges(("j3", "read", "a", "before")),
         "table_join_edges": make.joins(),
     }
-    out = rb.sync_edges(jobs, files, old, rb.by_extractor(extractor, 2), "m", "v")
+    out = rb.sync_edges(jobs, files, old, rb.by_extractor(ex.on_whole_prompt(extractor), 2), "m", "v")
     assert rows(out["extracted"]) == [("j1",), ("j2",)]
     assert rows(out["rejected"]) == [("j3",)]
     assert rows(out["job_table_edges"], "job_id", "table_name") == [("j1", "first"), ("j2", "late"), ("j3", "before")]

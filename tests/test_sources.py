@@ -7,11 +7,12 @@ import json
 import zipfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablewake.plans.audit_run import REPORT_ORDER
 from tablewake.plans.registry import _all_tables
-from tablewake.schemas import INVENTORY
+from tablewake.schemas import CATALOG, INVENTORY
 from tablewake.sources import code, snapshot
 from tablewake.sources.inventory import scan_inventory
 from tablewake.streaming import deletions as stream
@@ -153,3 +154,33 @@ def test_stream_audit_reports_each_event_once(spark, make, rows, tmp_path):
     assert rows(snapshot.read_audit_log(spark, log), "event_id", "table_name", "flagged") == [*first, ("e3", "used", True)]
     assert [r.value for r in spark.read.text(f"{reports}/batch=1").collect()] == text
     assert REPORT_ORDER[0] == "finding_rank"
+
+
+def test_a_snapshot_completed_meanwhile_is_not_overwritten(spark, make, tmp_path):
+    root = str(tmp_path / "catalog")
+    empty = {t: spark.createDataFrame([], ddl) for t, ddl in CATALOG.items()}
+
+    def tables(name):
+        row = {f.name: None for f in empty["databases"].schema.fields} | {"id": "i", "name": name}
+        return {**empty, "databases": spark.createDataFrame([row], empty["databases"].schema)}
+
+    names = lambda: [r.name for r in snapshot.read_snapshot(spark, root)["databases"].collect()]
+    snapshot.write_snapshot(spark, root, tables("first"))
+    original = snapshot._current
+    calls = []
+
+    def other_writer(session, path):
+        calls.append(path)
+        if len(calls) == 2:  # just before the slow writer marks itself
+            snapshot._current = original
+            snapshot.write_snapshot(session, path, tables("other"))
+        return original(session, path)
+
+    snapshot._current = other_writer
+    try:
+        with pytest.raises(snapshot.SnapshotTaken):
+            snapshot.write_snapshot(spark, root, tables("slow"))
+    finally:
+        snapshot._current = original
+    assert names() == ["other"] and snapshot.current_snapshot(spark, root) == 1
+    assert snapshot.write_snapshot(spark, root, tables("next")) == 2 and names() == ["next"]
