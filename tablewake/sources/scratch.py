@@ -36,6 +36,15 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that a DataFrame of :func:`cut` reads, once all that is made from it has been written."""
+    spark = df.sparkSession
+    root = scratch_root(spark)
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.split("/tablewake-")[-1] != folder and root.rsplit("/", 1)[-1] in folder:
+            remove(spark, folder)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all scratch tables of this session. DataFrames that read them end with it."""
     for table in spark.catalog.listTables():
