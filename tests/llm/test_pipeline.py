@@ -50,3 +50,23 @@ def test_empty_table(spark, folder):
     for _, stage in pipeline.STAGES:
         docs = pipeline.cut(stage(spark, docs, folder))
         assert docs.count() == 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, its_id long, row_key string, n_lines long, n_dropped long, n_tokens long, token_ids string, decoded string, round_trip string, document string, row string, a long, id string"
+
+
+def test_columns_of_any_name_pass_through_all_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = [f.name for f in spark.createDataFrame([], CLASHING).schema.fields[5:]]
+    values = [F.concat(F.lit(f"{name} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(name) for name in extra]
+    wide = docs.select("*", *values)
+    for name, stage in pipeline.STAGES:
+        before, wide = wide.columns, pipeline.cut(stage(spark, wide, folder))
+        if name == "byte_bpe":
+            assert sorted(wide.columns) == sorted(before)
+            assert wide.where("NOT round_trip OR n_tokens <> size(token_ids)").count() == 0
+            extra = [c for c in extra if c not in ("n_tokens", "token_ids", "round_trip")]
+        else:
+            assert wide.columns == before
+        wrong = " OR ".join(f"{c} <> concat('{c} ', doc_id)" for c in extra)
+        assert wide.count() > 0 and wide.where(wrong).count() == 0, name
