@@ -29,13 +29,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewake.llm.common import chunks, table, text_of, with_columns, worker_cache
+from tablewake.llm.common import Kept, chunks, table, text_of, with_columns, worker_cache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ROW = 1 << 14  # characters of unknown chunks in a row
 BATCH = 1 << 18  # characters that the library gets at a time, or one chunk
 KEPT = 64  # characters of a chunk whose ids are kept
 CHUNKS = 500_000  # chunks kept by a worker
+IDS = 1 << 20  # ids decoded together
 
 
 def byte_characters() -> list[str]:
@@ -96,7 +97,7 @@ class Encoder:
         blank = byte_characters()[0x20]
         for token, i in self.tokenizer.get_vocab().items():
             self.blank_first[i] = token.startswith(blank)
-        self.known: dict[str, bytes] = {}  # by chunk, with a blank before it
+        self.known = Kept(CHUNKS)  # by chunk, with a blank before it
 
     def _learn(self, wanted: list[str]) -> list[bytes]:
         """The ids, as bytes, of strings; the library gets a bounded number of characters at a time."""
@@ -135,16 +136,17 @@ class Encoder:
         if not text:
             return b""
         parts = chunks(text)
-        if len(self.known) > CHUNKS:
-            self.known.clear()
-        known = self.known
         first = self._learn([parts[0]])[0] if parts[0] else b""
-        rest = [*map(known.get, parts[1:])]
+        rest = [*map(self.known.young.get, parts[1:])]
+        if None in rest:
+            rest = [self.known.get(p) if ids is None else ids for p, ids in zip(parts[1:], rest, strict=True)]
         if None in rest:
             missing = {p for p, ids in zip(parts[1:], rest, strict=True) if ids is None}
             learnt = dict(zip(missing, self._learn_chunks([*missing]), strict=True))
             rest = [learnt[p] if ids is None else ids for p, ids in zip(parts[1:], rest, strict=True)]
-            known.update((p, ids) for p, ids in learnt.items() if len(p) <= KEPT)
+            for p, ids in learnt.items():
+                if len(p) <= KEPT:
+                    self.known.put(p, ids)
         return b"".join([first, *rest])
 
 
@@ -156,16 +158,41 @@ def _encoder(model: str) -> Encoder:
     return cache[model]
 
 
-def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
-    """``docs`` with ``token_ids``; with ``offsets`` also ``token_begins``, each token's first byte in the text."""
-    model, column = model_json(path), docs.columns.index("text")
+class Decoder:
+    """Bytes of ids: the tokens' bytes lie one after another, and a list of ids is a gather from them."""
+
+    def __init__(self, vocab: dict[str, int]) -> None:
+        table_of = {c: b for b, c in enumerate(byte_characters())}
+        size = max(vocab.values(), default=-1) + 1
+        self.lengths = np.full(size, -1, np.int64)  # -1: no such id
+        self.starts = np.zeros(size, np.int64)
+        flat = bytearray()
+        for token, i in vocab.items():
+            self.lengths[i], self.starts[i] = len(token), len(flat)
+            flat += bytes(table_of[c] for c in token)
+        self.flat = np.frombuffer(bytes(flat), np.uint8)
+
+    def _part(self, ids: np.ndarray) -> bytes:
+        if ids.min() < 0 or ids.max() >= len(self.lengths) or (lengths := self.lengths[ids]).min() < 0:
+            raise ValueError("a token id that the vocabulary doesn't have")
+        ends = np.cumsum(lengths)
+        # A byte's place in the table is its place in the text, moved by as much as its token is.
+        moved = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.flat[moved + np.arange(len(moved))].tobytes()
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(self._part(ids[i : i + IDS]) for i in range(0, len(ids), IDS))
+
+
+def encode(docs: DataFrame, path: str, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids``; with ``offsets`` also ``token_begins``, each token's first byte in the text, and with
+    ``decoded`` the bytes that the ids give, without another way through the workers.
+    """
+    model = model_json(path)
+    decoder = Decoder(json.loads(model)["model"]["vocab"])
 
     def run(batches):
         encoder = _encoder(model)
-        lengths = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
-        if offsets:
-            for token, i in encoder.tokenizer.get_vocab().items():
-                lengths[i] = len(token)
         for batch in batches:
             raw = [encoder.ids(t.as_py() or "") for t in batch.column(column)]
             ids = np.frombuffer(b"".join(raw), np.int32)
@@ -173,26 +200,26 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             added = [pa.ListArray.from_arrays(ends, ids)]
             if offsets:
-                bytes_before = np.concatenate(([0], np.cumsum(lengths[ids])))[:-1]
+                bytes_before = np.concatenate(([0], np.cumsum(decoder.lengths[ids])))[:-1]
                 of_doc = np.repeat(np.append(bytes_before, 0)[np.minimum(ends[:-1], len(ids))], counts)
                 added.append(pa.ListArray.from_arrays(ends, bytes_before - of_doc))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], [*kept, *names])
-
-    names = ["token_ids", *["token_begins"] * offsets]
+            if decoded:
+                added.append(pa.array([decoder.bytes_of(np.frombuffer(r, np.int32)) for r in raw], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*kept, *names])
+
+    names = {"token_ids": "array<int>"}
+    if offsets:
+        names["token_begins"] = "array<bigint>"
+    if decoded:
+        names["decoded"] = "binary"
     docs = docs.drop(*names)
     kept, column = docs.columns, docs.columns.index("text")
-    return docs.mapInArrow(run, with_columns(docs, token_ids="array<int>", **{"token_begins": "array<bigint>"} if offsets else {}))
+    return docs.mapInArrow(run, with_columns(docs, **names))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` (with ``token_ids``) with ``decoded``, the bytes of the tokens."""
-    characters = byte_characters()
-    table_of = {c: b for b, c in enumerate(characters)}
-    shown = json.loads(model_json(path))["model"]["vocab"]
-    tokens: list[bytes | None] = [None] * (max(shown.values(), default=-1) + 1)
-    for text, i in shown.items():
-        tokens[i] = bytes(table_of[c] for c in text)
-
+    decoder = Decoder(json.loads(model_json(path))["model"]["vocab"])
     rows = rows.drop("decoded")
     kept, column = rows.columns, rows.columns.index("token_ids")
 
@@ -200,10 +227,10 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             out = []
             for ids in batch.column(column):
-                values = ids.values.to_pylist() if ids.is_valid else []
-                if any(i is None or not 0 <= i < len(tokens) or tokens[i] is None for i in values):
-                    raise ValueError("a token id that the vocabulary doesn't have")
-                out.append(b"".join([tokens[i] for i in values]))
+                values = ids.values if ids.is_valid else pa.array([], pa.int32())
+                if values.null_count:
+                    raise ValueError("a null in a list of token ids")
+                out.append(decoder.bytes_of(values.to_numpy()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*kept, "decoded"])
 
     return rows.mapInArrow(run, with_columns(rows, decoded="binary"))
@@ -215,8 +242,7 @@ def ids_sha256(ids: Column) -> Column:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
-    encoded = encode(docs.select("doc_id", text_of().alias("text")), path).select("doc_id", "token_ids")
-    return decode(encoded, path).select(
+    return encode(docs.select("doc_id", text_of().alias("text")), path, decoded=True).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         ids_sha256(F.col("token_ids")).alias("ids_sha256"),

@@ -87,3 +87,23 @@ def worker_cache(name: str) -> dict:
     """A dict that lives as long as its Python worker, whatever tasks it runs."""
     holder = sys.modules.setdefault("tablewake_worker_caches", types.ModuleType("tablewake_worker_caches"))
     return vars(holder).setdefault(name, {})
+
+
+class Kept:
+    """What a worker has worked out by string: at least the last ``size / 2`` that were put in or asked for, at most ``size``."""
+
+    def __init__(self, size: int) -> None:
+        self.half = size // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.pop(key, None)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value

@@ -4,10 +4,11 @@ Byte-level BPE encodes each match of the pre-tokenizer's pattern by itself, and
 sequence of tokens is the encoding of its bytes if and only if each pair of neighbours is the
 encoding of the pair. So the last token of each prefix of a match is the one token that ends there
 and goes with the last token of the prefix before it, and the count of a prefix is one more than
-that prefix's count. The counts of a match are kept for later documents; a document's table is put
-together from those of its matches, and holds the exact count of each prefix, in characters. It
-answers ``how many tokens`` (last entry), ``does it fit`` and ``where to cut for a budget`` without encoding
-again. Three places need care because the pattern looks ahead: a prefix that ends in white space
+that prefix's count. The tables of matches and of chunks (texts between single blanks) are kept for later
+documents; a document's table is put together from those of its chunks, and holds the exact count of each prefix, in
+characters. It answers ``how many tokens`` (last entry), ``does it fit`` and ``where to cut for a budget`` without encoding
+again. Where only these are asked, sums of the chunks' last entries say how many tokens there are and in which chunk a
+budget ends, and the table is made for that chunk alone. Three places need care because the pattern looks ahead: a prefix that ends in white space
 has that run as one match; a prefix that cuts 're, 've or 'll after the r, v or l has two matches;
 a prefix that ends inside a special string has it as ordinary text.
 
@@ -21,6 +22,8 @@ result are replaced. Texts of any length are processed whole.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewake.llm.bpe import byte_characters
-from tablewake.llm.common import chunks, table, text_of, with_columns, worker_cache
+from tablewake.llm.common import Kept, chunks, table, text_of, with_columns, worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 KEPT = 64  # characters of a match whose counts are kept
-MATCHES = 400_000  # matches, and chunks, kept by a worker
+MATCHES = 400_000  # matches kept by a worker
+CHUNKS = 600_000  # chunks kept by a worker
 TOKEN_BITS = 24
 TOKEN = (1 << TOKEN_BITS) - 1
+TAIL = 3  # bytes at a token's end by which its length is bounded
 RUN = regex.compile(r"\s{2,}")
 CONTRACTION = ("'re", "'ve", "'ll")
 
@@ -65,9 +70,14 @@ class Counter:
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.pair_ok: dict[tuple[int, int], bool] = {}
         self.alone = {t: i for t, i in self.ids.items() if self._encode(t) == [t]}  # tokens that encode as themselves
+        self.reach: dict[bytes, int] = {}  # by the last bytes of tokens: the longest of them
+        for token in self.alone:
+            end = token[-TAIL:]
+            if len(end) == TAIL:
+                self.reach[end] = max(len(token), self.reach.get(end, 0))
         self.prefixes: dict[bytes, int] = {}  # of matches: count and last token
-        self.matches: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}  # by chunk, with the blank before it
+        self.matches = Kept(MATCHES)
+        self.known = Kept(CHUNKS)  # by chunk, with the blank before it
 
     def _encode(self, raw: bytes) -> list[bytes]:
         parts = [raw[i : i + 1] for i in range(len(raw))]
@@ -108,22 +118,22 @@ class Counter:
         """The count of each prefix of a match but the empty one."""
         if len(raw) > 2 * KEPT:
             return self._long_counts(raw)
-        ids, longest, pair_ok, done = self.alone, self.longest, self.pair_ok, self.prefixes
+        done, tokens, reach, pair_ok = self.prefixes, self.alone.get, self.reach.get, self.pair_ok.get
         if len(done) > 2 * MATCHES:
             done.clear()
         known = len(raw)
         while known and raw[:known] not in done:
             known -= 1
         for end in range(known + 1, len(raw) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = ids.get(raw[begin:end])
+            for begin in range(max(0, end - reach(raw[end - TAIL : end], TAIL - 1)) if end > TAIL else 0, end):
+                token = tokens(raw[begin:end])
                 if token is None:
                     continue
                 if not begin:
                     done[raw[:end]] = 1 << TOKEN_BITS | token
                     break
                 before = done[raw[:begin]]
-                good = pair_ok.get((before & TOKEN, token))
+                good = pair_ok((before & TOKEN, token))
                 if good or good is None and self._goes(before & TOKEN, token):
                     done[raw[:end]] = (before & ~TOKEN) + (1 << TOKEN_BITS) | token
                     break
@@ -135,7 +145,7 @@ class Counter:
         """The same by position, for a match whose prefixes are not worth keeping."""
         last, counts = [-1], [0]
         for end in range(1, len(raw) + 1):
-            for begin in range(max(0, end - self.longest), end):
+            for begin in range(max(0, end - self.reach.get(raw[end - TAIL : end], TAIL - 1)) if end > TAIL else 0, end):
                 token = self.alone.get(raw[begin:end])
                 if token is not None and (not begin or self._goes(last[begin], token)):
                     last.append(token)
@@ -163,42 +173,42 @@ class Counter:
             if counts is None:
                 counts = self.match_counts(match)
                 if len(match) <= KEPT and max(counts) < 256:
-                    if len(self.matches) >= MATCHES:
-                        self.matches.clear()
-                    self.matches[match] = counts = bytes(counts)
+                    counts = bytes(counts)
+                    self.matches.put(match, counts)
             if len(counts) == len(text):
                 return counts
             base = out[-1] if out else 0
             out += [base + c for c in counts]
         return out
 
-    def _packed(self, chunk: str) -> bytes | None:
-        """The counts within a chunk after its blank as bytes, if it is short enough to be kept."""
-        if len(chunk) > KEPT or max(counts := self._inside(f" {chunk}")) > 255:
-            return None
-        if len(self.known) >= MATCHES:
-            self.known.clear()
-        self.known[chunk] = packed = bytes(counts)
-        return packed
+    def _table(self, chunk: str) -> bytes | list[int]:
+        """The counts within a chunk after its blank, kept as bytes if it is short enough."""
+        counts = self.known.get(chunk)
+        if counts is None:
+            counts = self._inside(f" {chunk}")
+            if len(chunk) <= KEPT and max(counts) < 256:
+                counts = bytes(counts)
+                self.known.put(chunk, counts)
+        return counts
+
+    def _tables(self, parts: list[str]) -> list[bytes | list[int]]:
+        """The counts within each chunk."""
+        tables = [*map(self.known.young.get, parts)]
+        tables[0] = self._inside(parts[0])
+        if None in tables:
+            tables = [self._table(p) if t is None else t for p, t in zip(parts, tables, strict=True)]
+        return tables
 
     def part_counts(self, text: str) -> np.ndarray:
         """The count of each prefix, the empty one first, of a text without special strings."""
         if not text:
             return np.zeros(1, np.int64)
         parts = chunks(text)
-        known, own = self.known, {}
-        packed = [known.get(p) for p in parts[1:]]
-        if None in packed:
-            for i, p in enumerate(parts[1:]):
-                if packed[i] is None:
-                    packed[i] = known.get(p) or self._packed(p)
-                if packed[i] is None:
-                    own[i] = list(self._inside(f" {p}"))
-        head = np.array(list(self._inside(parts[0])), np.int64)
-        if own:
-            inside = np.concatenate([head, *(np.array(own[i]) if p is None else np.frombuffer(p, np.uint8) for i, p in enumerate(packed))])
+        tables = self._tables(parts)
+        if all(type(t) is bytes for t in tables):
+            inside = np.frombuffer(b"".join(tables), np.uint8)
         else:
-            inside = np.concatenate([head, np.frombuffer(b"".join(packed), np.uint8)])
+            inside = np.concatenate([np.frombuffer(t, np.uint8) if type(t) is bytes else np.array(t, np.int64) for t in tables])
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         lengths[1:] += 1
         ends = np.cumsum(lengths)
@@ -225,6 +235,25 @@ class Counter:
         out.append(base + self.part_counts(text[begin:])[1:])
         return np.concatenate(out)
 
+    def total_and_fit(self, text: str, budget: int) -> tuple[int, int]:
+        """(count of the text, characters of its longest prefix of at most ``budget`` tokens)."""
+        if not text or self.special and self.special.search(text) or len(text) > 1 and text[-2:].isspace():
+            counts = self.prefix_counts(text)
+            return int(counts[-1]), int(np.flatnonzero(counts <= budget)[-1])
+        parts = chunks(text)
+        ends = [*accumulate(t[-1] if t else 0 for t in self._tables(parts))]
+        if ends[-1] <= budget:
+            return ends[-1], len(text)
+        # A prefix that ends in a chunk has no fewer tokens than the chunks before it, so the longest that fits ends in the last
+        # chunk with as many before it. White space is one match wherever chunks part it: begin where none comes before.
+        of = bisect_right(ends, budget)
+        begin = of
+        while begin and (not parts[begin - 1] or parts[begin - 1][-1].isspace()):
+            begin -= 1
+        before = sum(map(len, parts[:begin])) + max(begin - 1, 0)
+        counts = self.part_counts(" " * (begin > 0) + " ".join(parts[begin : of + 1])) + (ends[begin - 1] if begin else 0)
+        return ends[-1], before + int(np.flatnonzero(counts <= budget)[-1])
+
 
 def _counter(model: str, pattern: str) -> Counter:
     cache = worker_cache("counters")
@@ -250,11 +279,15 @@ def count_tokens(docs: DataFrame, path: str, budget: int = LIMIT, prefixes: bool
         for batch in batches:
             n, fits, tables = [], [], []
             for text in batch.column(column):
-                counts = counter.prefix_counts(text.as_py() or "")
-                n.append(int(counts[-1]))
-                fits.append(len(counts) - 1 if counts[-1] <= budget else int(np.flatnonzero(counts <= budget)[-1]))
                 if prefixes:
+                    counts = counter.prefix_counts(text.as_py() or "")
+                    n.append(int(counts[-1]))
+                    fits.append(int(np.flatnonzero(counts <= budget)[-1]))
                     tables.append(counts.astype(np.int32))
+                else:
+                    total, fit = counter.total_and_fit(text.as_py() or "", budget)
+                    n.append(total)
+                    fits.append(fit)
             added = [pa.array(n, pa.int64()), pa.array(fits, pa.int64())]
             if prefixes:
                 added.append(pa.array(tables, pa.list_(pa.int32())))

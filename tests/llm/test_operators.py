@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablewake.llm import ann, bpe, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, tokencount, warc
+from tablewake.llm.common import Kept
 from tablewake.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h long, its_id long, its_lang string, a string, key string, taken long, kept boolean, component_id long, line string, row string"
@@ -272,6 +273,35 @@ def test_prefix_counts_equal_the_library():
         assert counter.prefix_counts(text).tolist() == want, text
 
 
+def test_budgets_answered_by_chunks_equal_whole_tables():
+    path = public_tokenizers.path(tokencount.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        counter = tokencount.Counter(file.read(), public_tokenizers.PATTERN)
+    random.seed(9)
+    parts = ["a", "'re", "'ll", " ", "  ", "\n", " \n", "\n ", "\t", "é", "漢字", "😀", "12", "!?", "<|endoftext|>", " hello", "abc" * 40]
+    for _ in range(300):
+        text = "".join(random.choices(parts, k=random.randint(0, 14)))
+        whole = counter.prefix_counts(text)
+        for budget in {0, 1, 2, 5, int(whole[-1]), max(0, int(whole[-1]) - 1)}:
+            assert counter.total_and_fit(text, budget) == (whole[-1], np.flatnonzero(whole <= budget)[-1]), (text, budget)
+
+
+def test_kept_holds_what_was_used_last():
+    kept = Kept(8)
+    for i in range(40):
+        kept.put(str(i), b"x")
+        assert kept.get("0") == b"x" and len(kept.young) + len(kept.old) <= 8
+    assert kept.get("39") == b"x" and kept.get("5") is None
+
+
+def test_decoder_refuses_unknown_ids():
+    decoder = bpe.Decoder({"a": 0, "bc": 2})
+    assert decoder.bytes_of(np.array([2, 0, 2], np.int32)) == b"bcabc" and decoder.bytes_of(np.array([], np.int32)) == b""
+    for bad in (1, 3, -1):
+        with pytest.raises(ValueError):
+            decoder.bytes_of(np.array([0, bad], np.int32))
+
+
 def test_token_counts(docs, rows, empty):
     path = public_tokenizers.path(tokencount.VOCABULARY)
     library = Tokenizer.from_file(path)
