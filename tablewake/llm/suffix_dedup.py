@@ -15,7 +15,7 @@ text has bytes. Here it runs over short strings of equal place instead, so that
 4. A gram with more than ``SHARD`` contexts does not fit a task. Its strings are counted by 128-bit hashes
    instead, with partial counts.
 
-Each step's table is written to the shared folder. Texts are named by 96 bits of hashes. Rows with equal texts are one text that
+Each step's table is written to the shared folder, and removed once the tables made from it are. Texts are named by 96 bits of hashes. Rows with equal texts are one text that
 occurs in several places: all of it goes if it has ``LENGTH`` bytes.
 
 Nulls: a null text is empty, doc_id is only carried. Repeated rows give a row each. Texts below ``LENGTH`` bytes
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewake.llm.common import table, text_of
-from tablewake.sources.scratch import cut
+from tablewake.sources.scratch import cut, cut_counted, discard
 
 LENGTH = 200
 GRAM = 32
@@ -153,14 +153,24 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in edges.reshape(-1, 2)]
 
 
+def _discard(*tables: DataFrame) -> None:
+    """Remove tables whose successors are written, so that the disk holds a few steps and not all of them."""
+    for written in tables:
+        discard(written)
+
+
 RUNS = "u long, u2 int, begin int, end int"
 
 
-def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (u, u2, gram, context, place, alone) with ``bytes``, the context from the text and ``before``, its bytes before the anchor."""
+def _strings(docs: DataFrame, wanted: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """``wanted`` (u, u2, gram, context, place, alone) with ``bytes``, the context from the text and ``before``, its bytes before the anchor.
+
+    Tables that the result reads are added to ``used``, here and below.
+    """
     firsts = docs.groupBy("u", "u2").agg(F.min("row_key").alias("row_key"))
     lists = wanted.groupBy("u", "u2").agg(F.collect_set(F.struct("gram", "context", "place", "alone")).alias("list"))
     lists = cut(lists.join(firsts, ["u", "u2"]))
+    used.append(lists)
     rows = docs.select("u", "u2", "row_key", "text").join(lists, ["u", "u2", "row_key"])
     one = rows.select("u", "u2", F.encode("text", "utf-8").alias("raw"), F.explode("list").alias("x")).select("u", "u2", "raw", "x.*")
     before = F.least(F.col("place"), F.lit(SPAN))
@@ -186,7 +196,7 @@ def _in_shards(strings: DataFrame) -> DataFrame:
     return strings.groupBy("shard").applyInPandas(run, RUNS)
 
 
-def _by_hash(strings: DataFrame) -> DataFrame:
+def _by_hash(strings: DataFrame, used: list[DataFrame]) -> DataFrame:
     """The same for grams with many contexts: strings are counted by their hashes.
 
     Strings that start side by side are first counted together, as blocks: a block that occurs twice is repeated as
@@ -229,47 +239,58 @@ def _by_hash(strings: DataFrame) -> DataFrame:
     blocks = rows.groupBy("ua", "ub").agg(F.min(F.struct("u", "u2", "start", "alone", "a", "b")).alias("x"), F.max(where).alias("y"))
     once = (F.col("x.u") == F.col("y.u")) & (F.col("x.u2") == F.col("y.u2")) & (F.col("x.start") == F.col("y.start"))
     blocks = cut(blocks.select("ua", "ub", once.alias("once"), "x.*"))
-    whole = rows.where("alone").join(cut(blocks.where("NOT once").select("ua", "ub")), ["ua", "ub"], "left_semi")
+    repeated = cut(blocks.where("NOT once").select("ua", "ub"))
+    whole = rows.where("alone").join(repeated, ["ua", "ub"], "left_semi")
     whole = whole.select("u", "u2", F.col("start").alias("begin"), (F.col("start") + F.size("a") - 1 + LENGTH).alias("end"))
     single = blocks.select("u", "u2", "start", (F.col("alone") & F.col("once")).alias("open"), F.posexplode(F.arrays_zip("a", "b")).alias("k", "h"))
     single = cut(single.select("h.a", "h.b", "u", "u2", (F.col("start") + F.col("k")).alias("start"), "open"))
     twice = single.groupBy("a", "b").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y").select("a", "b")
-    hit = single.where("open").join(cut(twice), ["a", "b"], "left_semi")
+    twice = cut(twice)
+    used += [rows, repeated, single, twice]
+    _discard(blocks)
+    hit = single.where("open").join(twice, ["a", "b"], "left_semi")
     return whole.union(hit.select("u", "u2", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")))
 
 
 def repeated_runs(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """(u, u2, begin, end): runs of bytes that are covered by repeated strings, from ``docs`` (row_key, u, u2, text)."""
-    rows = cut(anchor_rows(docs))
-    often = cut(rows.groupBy("gram").count().where("count > 1").select("gram"))
-    rows = cut(rows.join(often, "gram", "left_semi"))
+    anchored = cut(anchor_rows(docs))
+    often = cut(anchored.groupBy("gram").count().where("count > 1").select("gram"))
+    rows = cut(anchored.join(often, "gram", "left_semi"))
+    _discard(anchored, often)
     where = F.struct("u", "u2", "place")
     contexts = rows.groupBy("gram", "context").agg(F.min(where).alias("x"), F.max(where).alias("y"))
     contexts = cut(contexts.select("gram", "context", "x", (F.col("x") == F.col("y")).alias("alone")))
     # Contexts that occur twice are repeated from end to end; the ends of a text are clipped below.
-    whole = rows.join(contexts.where("NOT alone"), ["gram", "context"], "left_semi")
-    whole = whole.select("u", "u2", F.greatest(F.col("place") - SPAN, F.lit(0)).alias("begin"), (F.col("place") + LENGTH).alias("end"))
+    whole = rows.join(contexts.where("NOT alone").select("gram", "context"), ["gram", "context"], "left_semi")
+    whole = cut(whole.select("u", "u2", F.greatest(F.col("place") - SPAN, F.lit(0)).alias("begin"), (F.col("place") + LENGTH).alias("end")))
+    _discard(rows)
     # The others are compared where their gram has another context.
     grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.max("alone").alias("any_alone"))
     grams = cut(grams.where("n > 1 AND any_alone").select("gram", "n"))
-    wanted = cut(contexts.join(grams, "gram").select("x.*", "gram", "context", "alone", "n"))
-    n_strings = wanted.count()
+    wanted, n_strings = cut_counted(contexts.join(grams, "gram").select("x.*", "gram", "context", "alone"))
+    _discard(contexts)
     n_shards = max(1, -(-n_strings // shard))
-    strings = _strings(docs, wanted.drop("n"))
-    strings = cut(strings.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(n_shards))))
+    used: list[DataFrame] = []
+    strings = cut(_strings(docs, wanted, used).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(n_shards))))
+    _discard(wanted, *used)
     many = grams.where(F.col("n") > shard).select("gram")
     few = strings.join(many, "gram", "left_anti")
-    found = whole.union(_in_shards(few)).union(_by_hash(strings.join(many, "gram", "left_semi")))
-    return cut(found.distinct())
+    used = [whole, grams, strings]
+    found = cut(whole.union(_in_shards(few)).union(_by_hash(strings.join(many, "gram", "left_semi"), used)).distinct())
+    _discard(*used)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row of ``docs`` (doc_id, text)."""
     texts = docs.select("doc_id", text_of().alias("text")).select("doc_id", *named(F.col("text")), "text")
     keyed = texts.select(F.xxhash64("doc_id").alias("row_key"), "u", "u2", "text")
-    runs = repeated_runs(keyed).groupBy("u", "u2").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    found = repeated_runs(keyed)
+    runs = found.groupBy("u", "u2").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     copies = texts.groupBy("u", "u2").count().where("count > 1").select("u", "u2", F.lit(True).alias("copied"))
     known = cut(runs.join(copies, ["u", "u2"], "full"))
+    _discard(found)
     known = known.select("u", "u2", F.coalesce("copied", F.lit(False)).alias("copied"), F.col("runs.begin").alias("begins"), F.col("runs.end").alias("ends"))
     rows = texts.join(known, ["u", "u2"], "left").select("doc_id", "text", "copied", "begins", "ends")
 
