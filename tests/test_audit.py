@@ -176,3 +176,13 @@ def test_look_back_is_inclusive(events):
     found = audit.deletions_since(df, F.lit(T1))
     assert sorted(r.event_id for r in found.collect()) == ["e1", "e2"]
     assert [r.event_id for r in audit.deletions_since(df, F.lit(T2)).collect()] == ["e2"]
+
+
+def test_tables_are_tested_once_for_all_a_run_does(run, rows, monkeypatch):
+    asked = []
+    flag = audit.with_dependents_flag
+    monkeypatch.setattr(audit, "with_dependents_flag", lambda *a: asked.append(1) or flag(*a))
+    result = run(single("e1", "used"), single("e2", "nobody"))
+    assert rows(result.records, "event_id", "flagged") == [("e1", True), ("e2", False)]
+    assert result.totals.first()["flagged_tables"] == 1
+    assert len(asked) == 1

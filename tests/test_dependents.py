@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 
 from tablewake.operators import dependents as dep
-from tablewake.operators.closure import walk
+from tablewake.operators.closure import job_visits, walk
+from tablewake.operators.masks import by_focus, named, named_foci
 from tablewake.plans.check_delete import dependents_reports
 
 FOCUS = ("sales", "orders")
@@ -213,3 +214,16 @@ def test_hot_names_of_join_references_are_salted_without_a_change(make, rows):
     plain = rows(dep.join_refs(joins, foci))
     assert rows(dep.join_refs(joins, foci, rows_per_salt=7)) == plain
     assert ("d", "hub", "back", "x", "t1", "t1 = hub") in plain and not any(r[2] in ("self", "null") for r in plain)
+
+
+def test_labels_and_databases_are_joined_before_a_row_per_focus_is_made(make, rows):
+    edges = make.edges(("j1", "read", "d", "a"), ("j1", "write", None, "b"), ("j2", "read", None, "b"), ("j2", "write", None, "c"))
+    foci = make.foci(("d", "a"), (None, "a"), ("d", "b"), (None, "c"))
+    result = walk(edges, foci)
+    visits = job_visits(result)
+    assert rows(named(visits.drop("hop"), result.foci)) == rows(named_foci(by_focus(visits.drop("hop")), result.foci))
+    plan = dep.report_items(result, make.joins(), make.jobs(("j1", "glue", "n")), make.tables(("d", "b")))
+    joined = plan._jdf.queryExecution().optimizedPlan().toString()
+    first_rows = joined.index("Generate inline")  # plans print from the result to the scans
+    assert "known_name" in joined[first_rows:]
+    assert "known_name" not in joined[:first_rows]
