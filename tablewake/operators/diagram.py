@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import table_key
 from ..sources.scratch import Levels, cut, cut_clustered
 from .catalog import join_edges_of_tables, partition_columns
-from .closure import EdgeSides, edge_sides
+from .closure import CLUSTERED_EDGES, EdgeSides, edge_sides
 from .dependents import with_label
 from .masks import by_focus, named_foci, number_foci
 from .spread import ROWS_PER_SALT, hot_keys, listed_text, matched, salted
@@ -56,10 +56,6 @@ class Dag:
         return self._touched
 
 
-# Edges from which on their sides are stored clustered; below, a level is joined by broadcasting whichever side is small.
-CLUSTERED_EDGES = 5_000_000
-
-
 class Sides:
     """Edges by table name only, each direction written once for a walk from its tables and once for one from its jobs.
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tablewake.operators.closure import edge_sides, walk
+from tablewake.operators.closure import edge_sides, readers, walk
 from tablewake.operators.dependents import closure_rows
 
 
@@ -100,3 +100,20 @@ def test_max_hops(make):
     edges = [("j1", "read", "a", "t0"), ("j1", "write", "a", "t1"), ("j2", "read", "a", "t1"), ("j2", "write", "a", "t2")]
     result = walk(make.edges(*edges), make.foci(("a", "t0")), max_hops=1)
     assert {r.table_name for r in result.placed.where("hop > 0").collect()} == {"t1"}
+
+
+@pytest.mark.parametrize("rows_per_salt", [4, 2_000_000])
+def test_large_sides_are_clustered_and_hops_shuffle_no_edges(spark, make, rows_per_salt):
+    edges = [(f"j{i}", "read", "a", "hub") for i in range(30)] + random_edges(3)
+    foci = [("a", "hub"), (None, "t3")]
+    result = walk(edge_sides(make.edges(*edges), rows_per_salt), make.foci(*foci), clustered_edges=0)
+    want = {(d, t, kind, hop, db, node) for d, t in foci for kind, hop, db, node in brute_force(edges, (d, t))}
+    assert {tuple(r) for r in closure_rows(result).collect()} == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = readers(result.placed, result.sides)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    edge_side = plan[plan.index("clustered_") - 600 : plan.index("clustered_")]
+    assert "Exchange" not in edge_side

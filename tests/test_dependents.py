@@ -224,6 +224,7 @@ def test_labels_and_databases_are_joined_before_a_row_per_focus_is_made(make, ro
     assert rows(named(visits.drop("hop"), result.foci)) == rows(named_foci(by_focus(visits.drop("hop")), result.foci))
     plan = dep.report_items(result, make.joins(), make.jobs(("j1", "glue", "n")), make.tables(("d", "b")))
     joined = plan._jdf.queryExecution().optimizedPlan().toString()
-    first_rows = joined.index("Generate inline")  # plans print from the result to the scans
+    first_rows = joined.index("Generate explode")  # plans print from the result to the scans
     assert "known_name" in joined[first_rows:]
     assert "known_name" not in joined[:first_rows]
+    assert "lambda" not in joined
