@@ -40,8 +40,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    The stage's name is that of the method it began with. Fingerprints can't decide a similarity of 0.8, so it searches by prefixes
-    of the texts' shingle sets and verifies on the sets (``near_dedup``, which says what becomes of nulls, ties and repeated rows).
+    SimHash fingerprints over these shingles make the first candidates. They can't find all pairs of that similarity, so the rest is
+    searched by prefixes of the texts' shingle sets; both are verified on the sets (``near_dedup``, which says what becomes of nulls,
+    ties and repeated rows).
     """
     return near_dedup.keep_one(docs)
 

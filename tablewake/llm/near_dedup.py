@@ -1,16 +1,21 @@
 """Near-duplicate texts of the pipeline: five-word shingles, Jaccard similarity of at least 0.8, exact.
 
 A text is lower-cased (A-Z), cut into words and the set of its word shingles (a text of fewer words is one shingle;
-texts without words are equal). Two texts link if their sets' Jaccard similarity is at least ``SIMILAR``. Fingerprints
-cannot decide that: sets at 0.8 differ in some ten of 64 bits, and more by chance. So the search is by prefix filter, which
-loses no link: put in one order for all texts, two such sets meet in the first ``n - ceil(0.8 n) + 1`` of their n shingles.
-The order has shingles that a sample finds frequent last. Each text is listed under its prefix; texts of one list are
-candidates unless their sizes or the places of the shingle rule the similarity out. Candidates are verified on whole sets.
+texts without words are equal). Two texts link if their sets' Jaccard similarity is at least ``SIMILAR``. Candidates are
+verified on whole sets, whatever finds them.
+
+The first candidates come by SimHash: texts whose fingerprints over these shingles are equal or differ in at most two bits,
+met in blocks of bits as in ``simhash``. That finds most lightly edited copies, and their components are known from then on.
+Fingerprints cannot find the others: sets at 0.8 differ in some ten of 64 bits, and more by chance. These are searched by
+prefix filter, which loses no link: put in one order for all texts, two such sets meet in the first ``n - ceil(0.8 n) + 1`` of
+their n shingles. The order has shingles that a sample finds frequent last. Each text is listed under its prefix; texts of one
+list are candidates unless their component, their sizes or the places of the shingle rule that out.
 
 First each list's texts are compared with the list's first. Then, in lists that still hold several components, the
 pairs across components are, so a group of near copies costs about as many pairs as it has texts. A list where these are
-many (a passage that the sample missed) forms none: its texts are listed again, now in the order of exact counts among
-them, by which what a text has for itself comes first and leaves little room in its prefix for what many share.
+many (a passage that the sample missed) forms none: its texts are listed again, first in an order by a sample of them alone,
+then, where lists stay long, in the order of exact counts among them, by which what a text has for itself comes first and
+leaves little room in its prefix for what many share.
 
 Of a component the row of the smallest doc_id stays (one without only if no other is there; then the smaller key of the
 text); of equal rows one stays. An empty table gives no rows.
@@ -19,6 +24,7 @@ text); of equal rows one stays. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +32,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewake.llm import simhash
 from tablewake.llm.common import text_key, text_of
 from tablewake.llm.components import components
-from tablewake.sources.scratch import cut, discard
+from tablewake.sources.scratch import cut, cut_counted, discard
 
 SHINGLE = 5
 SEED = 42
 SIMILAR = (4, 5)  # numerator, denominator
-SAMPLE = 2_000  # texts, about, whose shingles are counted for the order: a share of them picked by hash
+SAMPLE = 2_000  # texts, about, whose shingles are counted for the order at least: a share of them picked by hash
+SHARE = 8  # one text in so many at least is counted: of a fixed number of texts, lists would grow with the table unnoticed
 MOST_BUCKETS = 1 << 16  # of a signature
 FULL = 65_535  # a bucket's count that says nothing
-FREQUENT = 200_000  # shingles put last; the choice changes the cost and not the links
+FREQUENT = 1_000_000  # shingles put last, at most; the choice changes the cost and not the links
 MOST_PAIRS = 32  # pairs a text of a list that are formed at once; beyond, its texts are listed again in an exact order
 
 
@@ -78,7 +86,7 @@ def _mapped(rows: DataFrame, made: Callable, schema: str) -> DataFrame:
 
 def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, sorted, and their counts in a sample of the texts: a table of bounded size."""
-    part = max(1, -(-texts.count() // SAMPLE))
+    part = min(SHARE, max(1, -(-texts.count() // SAMPLE)))
     sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
 
     def run(batches):
@@ -87,8 +95,15 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             h, n = np.unique(np.concatenate(own), return_counts=True)  # merged before the shuffle
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["h", "n"])
 
-    counts = sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("count")).where("count > 2")
-    top = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    counts = cut(sample.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("count")).where("count > 2"))
+    least, room = 3, FREQUENT
+    for count, n in sorted(map(tuple, counts.groupBy("count").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            least = count + 1
+            break
+    top = counts.where(F.col("count") >= least).toPandas().sort_values("h")
+    discard(counts)
     return top["h"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
 
 
@@ -199,9 +214,21 @@ def _across(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def links(texts: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
-    """Links (a, b) that span the components of different texts (node, text)."""
-    listed = cut(prefixes(texts))
+def _by_fingerprints(texts: DataFrame) -> DataFrame:
+    """Candidates (a, b) whose fingerprints are equal, or linked by blocks of bits: of equal ones each text with the first."""
+    prints = cut(simhash.fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), SHINGLE).withColumnRenamed("doc_id", "node"))
+    firsts = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = prints.join(firsts, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    first = lambda end: firsts.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    near = simhash.links(firsts.select("fp")).join(first("a"), "a").join(first("b"), "b").select("a_first", "b_first")
+    found = cut(equal.union(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(prints)
+    return found
+
+
+def _shared(listed: DataFrame) -> DataFrame:
+    """Rows of lists that hold several texts, with the list's ``first``."""
+    listed = cut(listed)
     # Nearly all keys have one text: they are counted by themselves, and only rows of the others are looked at again.
     several = cut(listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"))
     met = cut(listed.join(several, "key", "left_semi"))
@@ -209,20 +236,43 @@ def links(texts: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     firsts = met.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("first"))
     shared = cut(met.join(firsts, "key"))
     discard(met)
+    return shared
+
+
+def _with_firsts(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's first and another of its texts that may be similar and are not in one component."""
     rest = shared.alias("x").where(F.col("node") != F.col("first.node")).where(_possible("x", "first"))
-    tried = cut(rest.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
-    found = _verified(tried, texts)
+    pairs = rest.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        placed = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(placed, end, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
 
+def links(texts: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
+    """Links (a, b) that span the components of different texts (node, text)."""
+    found = _verified(_by_fingerprints(texts), texts)
     roots = components(found)
-    left = _mixed(shared.select("key", "node", "n", "place"), roots)
-    discard(shared)
+    rest, tried, across = texts, [], []
     few = F.col("across") <= F.col("all") * most
-    # Two texts that meet only in lists of many pairs are both in such a list, and meet again in their texts' own order.
-    again = cut(left.where(~few).select("node").distinct())
-    second = _mixed(ranked(texts.join(again, "node", "left_semi")), roots)
-    across = _across(left.where(few)).union(_across(second)).distinct()
-    across = cut(across.join(tried, ["a", "b"], "left_anti"))
-    return found.union(_verified(across, texts))
+    for _ in range(2):
+        shared = _shared(prefixes(rest))
+        tried.append(cut(_with_firsts(shared, roots)))
+        found = found.union(_verified(tried[-1], texts))
+        roots = components(found)
+        left = _mixed(shared.select("key", "node", "n", "place"), roots)
+        discard(shared)
+        across.append(_across(left.where(few)))
+        # Two texts that meet only in lists of many pairs are both in such a list, and meet again in their texts' own order.
+        again, n = cut_counted(left.where(~few).select("node").distinct())
+        if not n:
+            break
+        rest = cut(texts.join(again, "node", "left_semi"))
+    else:
+        across.append(_across(_mixed(ranked(rest), roots)))
+    pairs = reduce(DataFrame.union, across).distinct()
+    pairs = cut(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"))
+    return found.union(_verified(pairs, texts))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

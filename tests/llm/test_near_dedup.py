@@ -124,3 +124,31 @@ def test_ranked_prefixes_hold_what_similar_sets_share(spark):
         for j, y in enumerate(sets[:i]):
             if near_dedup.similar(x, y):
                 assert keys[i] & keys[j]
+
+
+def test_fingerprints_make_candidates(spark, monkeypatch):
+    random.seed(10)
+    texts = []
+    for _ in range(20):
+        base = [f"w{random.randint(0, 10**6)}" for _ in range(600)]
+        texts += [" ".join(base), " ".join(edited(base, 1)), " ".join(base + ["end"])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    monkeypatch.setattr(near_dedup, "prefixes", lambda texts: spark.createDataFrame([], "key long, node long, n int, place int"))
+    prints = [near_dedup.simhash.fingerprint(t, near_dedup.SHINGLE) for t in texts]
+    close = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    assert len(close) >= 20
+    roots = {r.node: r.root for r in near_dedup.components(near_dedup.links(rows)).collect()}
+    assert all(roots.get(i, i) == roots.get(j, j) for i, j in close)
+
+
+def test_the_sample_grows_with_the_table(spark, monkeypatch):
+    random.seed(11)
+    word = lambda: f"w{random.randint(0, 10**6)}"
+    passage = [word() for _ in range(8)]
+    texts = [" ".join([word() for _ in range(6)] + passage * (i % 20 == 0)) for i in range(1_600)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    monkeypatch.setattr(near_dedup, "SAMPLE", 4)
+    hashes, counts = near_dedup._frequent(rows)  # 4 texts would hold the passage, of 80 texts, three times only by chance
+    assert set(near_dedup.shingle_set(" ".join(passage)).tolist()) <= set(hashes.tolist())
+    monkeypatch.setattr(near_dedup, "FREQUENT", 3)
+    assert len(near_dedup._frequent(rows)[0]) <= 3
