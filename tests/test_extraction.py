@@ -260,3 +260,24 @@ def test_rehoming(make, rows):
     new = make.jobs(("n1", "glue", "etl"), ("n3", "lambda", "etl"))
     edges = make.edges(("o1", "read", "a", "x"), ("o2", "read", "a", "y"), ("o3", "read", "a", "z"), ("?", "read", "a", "w"))
     assert rows(ex.rehomed(edges, old, new), "job_id", "table_name") == [("n1", "x"), ("n3", "z")]
+
+
+def test_plain_types_give_the_verdict_of_the_members(spark, monkeypatch):
+    edge = {"database": "d", "table": "t", "direction": "read", "is_dynamic": True, "evidence": "e"}
+    join = {f"{s}_{p}": "x" for s in ("left", "right") for p in ("database", "table", "column")} | {"evidence": "e"}
+    good = [[edge], [edge | {"database": None}], [edge | {"is_dynamic": "yes"}], [edge | {"more": 1}], [edge, edge], []]
+    bad = [
+        [edge | {"direction": "scan"}], [edge | {"table": 1}], [edge, edge | {"evidence": None}], [{k: edge[k] for k in edge if k != "database"}],
+        [{"database: STRING, direction": "read", "evidence": "e", "is_dynamic": True, "table": "t"}], "read", [None], [edge | {"database": 3}],
+    ]
+    docs = [({"table_edges": e}, True) for e in good] + [({"table_edges": e}, False) for e in bad] + [
+        ({"join_edges": [join, join | {"left_database": None}]}, True), ({"join_edges": [join | {"right_column": None}]}, False),
+        ({"join_edges": [join], "table_edges": [edge | {"table": None}]}, False), ({}, True),
+    ]
+    rows = [("j", json.dumps(doc)) for doc, _ in docs] + [("j", '{"table_edges":null}'), ("j", "{"), ("j", None)]
+    table = spark.createDataFrame(rows, "job_id string, extraction string").coalesce(1)
+    got = [r.valid for r in ex.validated(table).collect()]
+    assert got[: len(docs)] == [valid for _, valid in docs]
+    monkeypatch.setattr(ex, "PLAIN_TABLE_EDGES", ("",))
+    monkeypatch.setattr(ex, "PLAIN_JOIN_EDGES", ("",))
+    assert [r.valid for r in ex.validated(table).collect()] == got
