@@ -227,16 +227,13 @@ def _by_fingerprints(texts: DataFrame) -> DataFrame:
 
 
 def _shared(listed: DataFrame) -> DataFrame:
-    """Rows of lists that hold several texts, with the list's ``first``."""
-    listed = cut(listed)
-    # Nearly all keys have one text: they are counted by themselves, and only rows of the others are looked at again.
-    several = cut(listed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"))
-    met = cut(listed.join(several, "key", "left_semi"))
-    discard(listed)
-    firsts = met.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("first"))
-    shared = cut(met.join(firsts, "key"))
-    discard(met)
-    return shared
+    """Rows of lists that hold several texts, with the list's ``first``.
+
+    Rows are moved once, to their lists; nearly all lists have one text and go where they are counted.
+    """
+    own = Window.partitionBy("key")
+    rows = listed.withColumns({"held": F.count(F.lit(1)).over(own), "first": F.min(F.struct("node", "n", "place")).over(own)})
+    return cut(rows.where("held > 1").drop("held"))
 
 
 def _with_firsts(shared: DataFrame, roots: DataFrame) -> DataFrame:

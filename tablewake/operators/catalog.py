@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.documents import (
@@ -14,6 +15,7 @@ from ..functions.documents import (
     descriptor_columns,
     named,
 )
+from ..sources.scratch import cut
 from .spread import listed_text
 
 
@@ -215,6 +217,28 @@ def null_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def key_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of each key as ``n_rows`` and nulls of each column as ``no_<column>``, written once: (keys, n_rows, no_...)."""
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in columns]
+    return cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *nulls))
+
+
+def repeated(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Like :func:`unique_violations`, from key counts."""
+    present = reduce(Column.__and__, [F.col(key).isNotNull() for key in keys])
+    return counted.where(present & (F.col("n_rows") > 1)).select(*keys, F.col("n_rows").alias("n"))
+
+
+def null_totals(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Like :func:`null_violations`, from key counts."""
+    totals = ", ".join(f"'{c}', sum(no_{c})" for c in columns)
+    return (
+        counted.agg(F.expr(f"map({totals}) AS counts"))
+        .selectExpr("explode(counts) AS (column_name, n)")
+        .where("n > 0")
+    )
+
+
 def check_constraints(
     databases: DataFrame,
     tables: DataFrame,
@@ -233,45 +257,51 @@ def check_constraints(
     def named_rows(df: DataFrame, name: str, subject: str, n: str = "1L") -> DataFrame:
         return df.selectExpr(f"'{name}' AS constraint_name", f"{subject} AS subject", f"{n} AS n")
 
+    def nulls(name: str, counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+        return named_rows(null_totals(counted, columns), f"{name}.not_null", "column_name", "n")
+
     checks = [
         named_rows(unique_violations(databases, ["name"]), "databases.unique", "name", "n"),
-        named_rows(
-            unique_violations(tables, ["database_name", "name"]),
-            "tables.unique", "concat(database_name, '.', name)", "n",
-        ),
-        named_rows(
-            unique_violations(jobs, ["type", "name"]), "jobs.unique", "concat(type, ': ', name)", "n"
-        ),
-        named_rows(unique_violations(extractions, ["job_id"]), "extractions.unique", "job_id", "n"),
-        named_rows(
-            missing_parents(tables, "database_name", databases, "name"), "tables.database", "value"
-        ),
-        named_rows(missing_parents(edges, "job_id", jobs, "id"), "edges.job", "value"),
         named_rows(
             null_violations(events, ["event_id", "event_name"]), "events.not_null", "column_name", "n"
         ),
-        named_rows(missing_parents(extractions, "job_id", jobs, "id"), "extractions.job", "value"),
     ]
-    for name, rows in (("tables", tables), ("jobs", jobs), ("edges", edges), ("extractions", extractions)):
-        required = [c for c in NOT_NULL[name] if c in rows.columns]
-        checks.append(named_rows(null_violations(rows, required), f"{name}.not_null", "column_name", "n"))
+    # Each of the other tables is read once: what its checks ask for is counted by key.
+    required = {
+        name: [c for c in NOT_NULL[name] if c in rows.columns]
+        for name, rows in (("tables", tables), ("jobs", jobs), ("edges", edges), ("extractions", extractions))
+    }
+    own = key_counts(tables, ["database_name", "name"], required["tables"])
+    twice = repeated(own, ["database_name", "name"])
+    checks.append(named_rows(twice, "tables.unique", "concat(database_name, '.', name)", "n"))
+    checks.append(named_rows(missing_parents(own, "database_name", databases, "name"), "tables.database", "value"))
+    checks.append(nulls("tables", own, required["tables"]))
+    own = key_counts(jobs, ["type", "name"], required["jobs"])
+    checks.append(named_rows(repeated(own, ["type", "name"]), "jobs.unique", "concat(type, ': ', name)", "n"))
+    checks.append(nulls("jobs", own, required["jobs"]))
+    own = key_counts(edges, ["job_id"], required["edges"])
+    children = {"edges.job": own}
+    checks.append(nulls("edges", own, required["edges"]))
+    own = key_counts(extractions, ["job_id"], required["extractions"])
+    children["extractions.job"] = own
+    checks.append(named_rows(repeated(own, ["job_id"]), "extractions.unique", "job_id", "n"))
+    checks.append(nulls("extractions", own, required["extractions"]))
     if join_edges is not None:
         sides = [f"{side}_{part}" for side in ("left", "right") for part in ("table", "column")]
-        checks.append(named_rows(missing_parents(join_edges, "job_id", jobs, "id"), "joins.job", "value"))
-        checks.append(
-            named_rows(null_violations(join_edges, ["job_id", *sides, "evidence"]), "joins.not_null", "column_name", "n")
-        )
+        columns = ["job_id", *sides, "evidence"]
+        children["joins.job"] = own = key_counts(join_edges, ["job_id"], columns)
+        checks.append(nulls("joins", own, columns))
     if artifacts is not None:
-        twice = unique_violations(artifacts, ["job_id", "reference"])
-        checks.append(named_rows(twice, "artifacts.unique", "concat(job_id, ': ', reference)", "n"))
-        checks.append(named_rows(missing_parents(artifacts, "job_id", jobs, "id"), "artifacts.job", "value"))
-        checks.append(
-            named_rows(null_violations(artifacts, ["job_id", "reference"]), "artifacts.not_null", "column_name", "n")
-        )
+        columns = ["job_id", "reference"]
+        children["artifacts.job"] = own = key_counts(artifacts, columns, columns)
+        checks.append(named_rows(repeated(own, columns), "artifacts.unique", "concat(job_id, ': ', reference)", "n"))
+        checks.append(nulls("artifacts", own, columns))
+    # All ids that should be a job's are looked up in the jobs together.
+    ids = [own.select(F.lit(name).alias("constraint_name"), F.col("job_id").alias("subject")) for name, own in children.items()]
+    lost = reduce(DataFrame.unionByName, ids).where("subject IS NOT NULL").distinct()
+    lost = lost.join(jobs.select(F.col("id").alias("subject")), "subject", "left_anti")
+    checks.append(lost.selectExpr("constraint_name", "subject", "1L AS n"))
     if log is not None:
         twice = unique_violations(log, ["event_id", "table_name"])
         checks.append(named_rows(twice, "log.unique", "concat(event_id, ': ', table_name)", "n"))
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+    return reduce(DataFrame.unionByName, checks)

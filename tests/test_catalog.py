@@ -144,3 +144,25 @@ def test_script_uris_lose_white_space_of_any_kind(spark, rows):
     arguments = '{"--extra-py-files": " s3://b/x.py,\\\\n s3://b/y.py\\\\t,\\\\r\\\\n"}'.replace("\\\\", "\\")
     glue = spark.createDataFrame([("j", '{"ScriptLocation": "s3://b/main.py\\n"}', arguments)], "name string, command string, default_arguments string")
     assert rows(inventory.script_uris(glue), "position", "uri") == [(0, "s3://b/main.py"), (1, "s3://b/x.py"), (2, "s3://b/y.py")]
+
+
+def test_constraints_read_each_child_table_once(make, rows, spark):
+    scans = spark.sparkContext.accumulator(0)
+    edges = make.edges(("j1", "read", "d", "a"), ("gone", "write", "d", "b"), ("gone", "write", "d", "c"))
+
+    def seen(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    counted = edges.mapInArrow(seen, edges.schema)
+    out = catalog.check_constraints(
+        make.frame([("d",)], "name string"), make.tables(("d", "a")), make.jobs(("j1", "glue", "one")), counted,
+        make.frame([("e", "n")], "event_id string, event_name string"),
+        make.frame([("j1", "{}"), ("j1", None), (None, "{}"), ("gone", "{}")], "job_id string, extraction string"),
+    )
+    assert rows(out) == [
+        ("edges.job", "gone", 1), ("extractions.job", "gone", 1), ("extractions.not_null", "extraction", 1),
+        ("extractions.not_null", "job_id", 1), ("extractions.unique", "j1", 2),
+    ]
+    assert scans.value == 3

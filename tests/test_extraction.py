@@ -281,3 +281,18 @@ def test_plain_types_give_the_verdict_of_the_members(spark, monkeypatch):
     monkeypatch.setattr(ex, "PLAIN_TABLE_EDGES", ("",))
     monkeypatch.setattr(ex, "PLAIN_JOIN_EDGES", ("",))
     assert [r.valid for r in ex.validated(table).collect()] == got
+
+
+def test_fixtures_are_asked_for_by_the_jobs_names_and_read_once(spark, make, rows):
+    from tablewake.plans.rebuild import by_fixture
+
+    asked = []
+
+    def of(names):
+        asked.append(rows(names))
+        return make.frame([("a", "{}"), ("other", "{}")], "name string, extraction string")
+
+    jobs = make.jobs(("1", "glue", "a"), ("2", "glue", "b"), ("3", "glue", None))
+    found = by_fixture(of)(jobs, jobs)
+    assert asked == [[("a",), ("b",), (None,)]]
+    assert rows(found, "job_id", "valid") == [("1", True), ("2", False), ("3", False)]

@@ -184,3 +184,27 @@ def test_a_snapshot_completed_meanwhile_is_not_overwritten(spark, make, tmp_path
         snapshot._current = original
     assert names() == ["other"] and snapshot.current_snapshot(spark, root) == 1
     assert snapshot.write_snapshot(spark, root, tables("next")) == 2 and names() == ["next"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from tablewake.sources.scratch import CLEANUP, cut
+
+    before = spark.conf.get(CLEANUP, None)
+    tracked = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    spark.range(1000).groupBy(F.col("id") % 7).count().write.format("noop").mode("overwrite").save()
+    n = tracked()
+    assert cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+    assert tracked() <= n + 1  # that of the count alone
+    assert spark.conf.get(CLEANUP, None) == before
+
+
+def test_views_are_made_from_written_ones(spark, tmp_path):
+    from tablewake.plans.views import view
+
+    rows = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame([(1, 5, 1, k, 1.0) for k in (2, 3, 5)], rows).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = view(spark, str(tmp_path), "lk_edges")
+    plain, few = (view(spark, str(tmp_path), "lk_join_edges", **own) for own in ({}, {"lk_edges": edges.where("false")}))
+    assert plain.where("evidence <> 'df merge'").count() == 0 and few.count() == 3
