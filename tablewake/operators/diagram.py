@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import table_key
-from ..sources.scratch import Levels, cut, cut_clustered
+from ..sources.scratch import Levels, cut, cut_clustered, cut_counted
 from .catalog import join_edges_of_tables, partition_columns
 from .closure import CLUSTERED_EDGES, EdgeSides, edge_sides
 from .dependents import with_label
-from .masks import by_focus, named_foci, number_foci
-from .spread import ROWS_PER_SALT, hot_keys, listed_text, matched, salted
+from .masks import WIDTH, bits, by_focus, named_foci, number_foci
+from .spread import ITEMS_PER_PART, ROWS_PER_SALT, hot_keys, listed_text, matched, salted
 
 # Bounds of the walk in each direction.
 MIN_DEPTH, MAX_DEPTH, DEFAULT_DEPTH = 1, 4, 2
@@ -32,8 +32,9 @@ class Dag:
     lie downstream and negative ones upstream. ``jobs`` has (block, job_id, mask).
     """
 
-    def __init__(self, foci: DataFrame, placed: DataFrame, jobs: DataFrame, sides: EdgeSides) -> None:
+    def __init__(self, foci: DataFrame, placed: DataFrame, jobs: DataFrame, sides: EdgeSides, clustered: bool = False) -> None:
         self.foci = foci
+        self.clustered = clustered
         self.placed = placed
         self.jobs = jobs
         self.sides = sides
@@ -48,11 +49,13 @@ class Dag:
             writes = self.sides.writes.select(*columns, F.lit("write").alias("direction"))
             on_jobs = self.jobs.join(reads.unionByName(writes), "job_id")
             placed = self.placed.groupBy("block", "table_name").agg(F.expr("bit_or(mask) AS placed"))
-            self._touched = cut(
+            rows = (
                 on_jobs.join(placed, ["block", "table_name"])
                 .selectExpr("block", "job_id", "table_name", "direction", "database_name", "mask & placed AS mask")
                 .where("mask != 0")
             )
+            # By table, as they come from the join and as databases and keys are joined to them.
+            self._touched = cut_clustered(rows, ["block", "table_name"]) if self.clustered else cut(rows)
         return self._touched
 
 
@@ -66,10 +69,9 @@ class Sides:
     def __init__(self, sides: EdgeSides, clustered: bool, rows_per_salt: int) -> None:
         self.clustered = clustered
         self.rows_per_salt = rows_per_salt
-        self.names = {
-            "read": cut(sides.reads.select("job_id", "table_name").distinct()),
-            "write": cut(sides.writes.select("job_id", "table_name").distinct()),
-        }
+        # Clustered ones are made distinct where they are clustered; until then equal names only count as more rows.
+        names = {way: rows.select("job_id", "table_name") for way, rows in (("read", sides.reads), ("write", sides.writes))}
+        self.names = names if clustered else {way: cut(rows.distinct()) for way, rows in names.items()}
         counts = [
             rows.groupBy(F.col(key).alias("key")).count().select(F.lit(f"{way} {key}").alias("side"), "count")
             for way, rows in self.names.items()
@@ -89,7 +91,9 @@ class Sides:
                 rows = salted(rows, key, hot, ["job_id", "table_name"])
                 rows = rows if self.clustered else cut(rows)
             if self.clustered:
-                rows = cut_clustered(rows, [key, *["salt"] * (hot is not None)])
+                keys = [key, *["salt"] * (hot is not None)]
+                n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                rows = cut_clustered(rows.repartition(n, *keys).distinct(), keys)
             self.known[name] = rows, hot
         rows, hot = self.known[name]
         return light.join(rows, key) if hot is None else matched(light, key, hot).join(rows, [key, "salt"])
@@ -139,7 +143,7 @@ def lineage_dag(
     down_jobs = cut(walk("read", "write", None, 1))
     up_jobs = _minus(walk("write", "read", down_jobs, -1), down_jobs, ["block", "job_id"])
     placed = levels.read().withColumnRenamed("hop", "layer")
-    return Dag(numbered, placed, cut(down_jobs.unionByName(up_jobs)), sides)
+    return Dag(numbered, placed, cut(down_jobs.unionByName(up_jobs)), sides, names.clustered)
 
 
 def dag_tables(dag: Dag) -> DataFrame:
@@ -147,49 +151,54 @@ def dag_tables(dag: Dag) -> DataFrame:
     return named_foci(by_focus(dag.placed.select("block", "table_name", "layer", "mask")), dag.foci)
 
 
-def diagram_databases(dag: Dag, tables: DataFrame) -> DataFrame:
-    """(focus, table_name, database_name): the focus's own, else from edges, else from the catalog.
+def database_masks(dag: Dag, tables: DataFrame) -> DataFrame:
+    """(block, table_name, layer, database_name, mask): the focus's own database, else from edges, else from the catalog.
 
-    Where edges or the catalog name several databases, the smallest one is taken.
+    Where edges or the catalog name several databases, the smallest one is taken. A focus's bit is in one row of each table.
     """
-    on_edges = dag.touched.where("database_name <> ''").groupBy(
-        "block", "table_name", "database_name"
-    ).agg(F.expr("bit_or(mask) AS mask"))
-    # A focus's bit stays with the first database of the table only, before bits become rows.
-    first = on_edges.selectExpr(
-        "block", "table_name", "database_name AS edge_database",
-        """mask & ~coalesce(bit_or(mask) OVER (PARTITION BY block, table_name ORDER BY database_name
+    by_table = ["block", "table_name"]
+    on_edges = dag.touched.where("database_name <> ''").groupBy(*by_table, "database_name").agg(F.expr("bit_or(mask) AS mask"))
+    # A focus's bit stays with the first row of the table that has it; what neither foci nor edges name is the catalog's.
+    named = (
+        dag.foci.selectExpr(*by_table, "0 AS turn", "if(table_name IS NULL, NULL, database_name) AS database_name", "mask")
+        .unionByName(on_edges.selectExpr(*by_table, "1 AS turn", "database_name", "mask"))
+        .unionByName(dag.placed.selectExpr(*by_table, "2 AS turn", "CAST(NULL AS STRING) AS database_name", "mask"))
+    )
+    first = named.selectExpr(
+        *by_table, "turn", "database_name",
+        """mask & ~coalesce(bit_or(mask) OVER (PARTITION BY block, table_name ORDER BY turn, database_name
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS mask""",
     ).where("mask != 0")
-    from_edges = by_focus(first)
     from_catalog = tables.groupBy(F.col("name").alias("table_name")).agg(
         F.min("database_name").alias("catalog_database")
     )
-    own = dag.foci.selectExpr("focus", "database_name AS focus_database", "table_name AS focus_table")
-    placed = by_focus(dag.placed.select("block", "table_name", "layer", "mask"))
+    known = first.join(from_catalog, "table_name", "left").selectExpr(
+        "block AS its_block", "table_name AS its_table", "if(turn = 2, catalog_database, database_name) AS database_name",
+        "mask AS its_mask",
+    )
+    at = F.expr("block = its_block AND table_name <=> its_table")
     return (
-        placed.join(own, "focus")
-        .join(from_edges, ["focus", "table_name"], "left")
-        .join(from_catalog, "table_name", "left")
-        .selectExpr(
-            "focus", "table_name", "layer",
-            """if(table_name = focus_table, focus_database,
-                  coalesce(edge_database, catalog_database)) AS database_name""",
-        )
+        dag.placed.select(*by_table, "layer", "mask").join(known, at)
+        .selectExpr(*by_table, "layer", "database_name", "mask & its_mask AS mask")
+        .where("mask != 0")
     )
 
 
+def diagram_databases(dag: Dag, tables: DataFrame) -> DataFrame:
+    """(focus, table_name, layer, database_name), see :func:`database_masks`."""
+    return by_focus(database_masks(dag, tables))
+
+
 # Reads of one job that one task pairs with the job's writes.
 READS_PER_SALT = 1_000
 
 
-def _paired(source: DataFrame, target: DataFrame, keys: list[str], reads_per_salt: int) -> DataFrame:
+def _paired(source: DataFrame, target: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """Reads joined to writes of the same job; jobs with very many reads are spread by salt.
 
     The number of pairs grows faster than the rows that go in, so a job is spread long
     before its rows alone would make a partition large.
     """
-    hot = hot_keys(source, "job_id", reads_per_salt)
     spread = salted(source, "job_id", hot, ["source"])
     pairs = spread.join(matched(target, "job_id", hot), [*keys, "salt"]).drop("salt")
     return pairs.where("source <> target")
@@ -203,42 +212,58 @@ def job_flows(edges: DataFrame, reads_per_salt: int = READS_PER_SALT) -> DataFra
     pairs = edges.select("job_id", "table_name", "direction").distinct()
     source = pairs.where("direction = 'read'").selectExpr("job_id", "table_name AS source")
     target = pairs.where("direction = 'write'").selectExpr("job_id", "table_name AS target")
-    return _paired(source, target, ["job_id"], reads_per_salt)
+    return _paired(source, target, ["job_id"], hot_keys(source, "job_id", reads_per_salt))
 
 
-def dag_arrow_jobs(dag: Dag, jobs: DataFrame) -> DataFrame:
-    """(focus, source, target, label): arrows between placed tables, one row per job label."""
+def dag_arrow_jobs(dag: Dag, jobs: DataFrame, tables: DataFrame, reads_per_salt: int = READS_PER_SALT) -> DataFrame:
+    """(block, source_key, target_key, label, mask): arrows between placed tables, by job label.
+
+    Keys and labels are joined to the ends before they are paired, so pairs move once, to their arrow.
+    """
+    keys = database_masks(dag, tables).select(
+        "block", "table_name", table_key(F.col("database_name"), F.col("table_name")).alias("key"), F.col("mask").alias("key_mask")
+    )
     merged = dag.touched.groupBy("block", "job_id", "table_name", "direction").agg(
         F.expr("bit_or(mask) AS mask")
     )
-    source = merged.where("direction = 'read'").selectExpr(
-        "block", "job_id", "table_name AS source", "mask AS source_mask"
-    )
-    target = merged.where("direction = 'write'").selectExpr(
-        "block", "job_id", "table_name AS target", "mask AS target_mask"
+    ends = merged.join(keys, ["block", "table_name"]).withColumn("mask", F.expr("mask & key_mask")).where("mask != 0")
+    source = ends.where("direction = 'read'").selectExpr(
+        "block", "job_id", "table_name AS source", "key AS source_key", "mask AS source_mask"
     )
-    arrows = _paired(source, target, ["block", "job_id"], READS_PER_SALT).selectExpr(
-        "block", "job_id", "source", "target", "source_mask & target_mask AS mask"
-    ).where("mask != 0")
-    labelled = with_label(arrows, jobs)
-    return by_focus(
-        labelled.groupBy("block", "source", "target", "label").agg(F.expr("bit_or(mask) AS mask"))
+    target = ends.where("direction = 'write'").selectExpr(
+        "block", "job_id", "table_name AS target", "key AS target_key", "mask AS target_mask"
     )
+    target = with_label(target, jobs)
+    # Counted on the edges, so a job has at least as many salts as its reads need; mostly there are no such jobs.
+    hot, n_hot = cut_counted(hot_keys(dag.touched.where("direction = 'read'"), "job_id", reads_per_salt))
+    at = ["block", "job_id"]
+    pairs = _paired(source, target, at, hot) if n_hot else source.join(target, at).where("source <> target")
+    arrows = pairs.selectExpr("block", "source_key", "target_key", "label", "source_mask & target_mask AS mask").where("mask != 0")
+    n = int(arrows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = arrows.repartition(n, *ARROW)
+    merged = spread.groupBy(*ARROW, "label").agg(F.expr("bit_or(mask) AS mask"))
+    return cut_clustered(merged, ARROW) if dag.clustered else cut(merged)
 
 
-def dag_arrows(dag: Dag, jobs: DataFrame, tables: DataFrame) -> DataFrame:
-    """(focus_database, focus_table, source_key, target_key, part, jobs)."""
-    keys = diagram_databases(dag, tables).select(
-        "focus", "table_name", table_key(F.col("database_name"), F.col("table_name")).alias("key")
-    )
-    arrows = dag_arrow_jobs(dag, jobs)
-    keyed = arrows.join(
-        keys.selectExpr("focus", "table_name AS source", "key AS source_key"), ["focus", "source"]
-    ).join(
-        keys.selectExpr("focus", "table_name AS target", "key AS target_key"), ["focus", "target"]
-    )
-    merged = listed_text(keyed, ["focus", "source_key", "target_key"], "label", "jobs")
-    return named_foci(merged, dag.foci)
+ARROW = ["block", "source_key", "target_key"]
+
+
+def dag_arrows(dag: Dag, jobs: DataFrame, tables: DataFrame, page: int = ITEMS_PER_PART) -> DataFrame:
+    """(focus_database, focus_table, source_key, target_key, part, jobs).
+
+    A block's arrow that has no more labels than a page has none that needs pages; its lists are made where its labels lie.
+    """
+    arrows = dag_arrow_jobs(dag, jobs, tables)
+    longest = arrows.groupBy(*ARROW).count().agg(F.max("count")).first()[0] or 0
+    if longest > page:
+        lists = listed_text(by_focus(arrows), ["focus", "source_key", "target_key"], "label", "jobs", page=page)
+    else:
+        by_arrow = bits(arrows).groupBy(*ARROW, "bit").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+        lists = by_arrow.select(
+            (F.col("block") * WIDTH + F.col("bit")).alias("focus"), "source_key", "target_key", F.lit(0).alias("part"),
+            F.array_join("labels", ", ").alias("jobs"),
+        )
+    return named_foci(lists, dag.foci)
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,7 @@ def number_foci(foci: DataFrame) -> DataFrame:
     )
 
 
-def _bits(df: DataFrame) -> DataFrame:
+def bits(df: DataFrame) -> DataFrame:
     """One row per set bit of ``mask``, with ``bit``: a generator and a filter in generated code, no function per bit."""
     return df.selectExpr(f"explode(sequence(0, {WIDTH - 1})) AS bit", "*").where("getbit(mask, bit) = 1")
 
@@ -52,7 +52,7 @@ def _bits(df: DataFrame) -> DataFrame:
 def by_focus(df: DataFrame) -> DataFrame:
     """One row per set bit: ``block`` and ``mask`` become ``focus``."""
     rest = [c for c in df.columns if c not in ("block", "mask")]
-    exploded = _bits(df)
+    exploded = bits(df)
     return exploded.selectExpr(f"block * {WIDTH} + bit AS focus", *rest)
 
 
@@ -65,7 +65,7 @@ def named(df: DataFrame, foci: DataFrame) -> DataFrame:
     entry = F.struct((F.col("focus") % WIDTH).cast("int").alias("bit"), name.alias("name"))
     names = foci.groupBy("block").agg(F.map_from_entries(F.collect_list(entry)).alias("named_foci"))
     rest = [c for c in df.columns if c not in ("block", "mask")]
-    chosen = _bits(df.join(names, "block")).selectExpr("named_foci[bit] AS named_focus", *rest)
+    chosen = bits(df.join(names, "block")).selectExpr("named_foci[bit] AS named_focus", *rest)
     return chosen.select("named_focus.focus_database", "named_focus.focus_table", *rest)
 
 

@@ -131,3 +131,37 @@ def test_a_hop_does_not_shuffle_clustered_edges(spark, make):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in text
+
+
+def test_arrows_of_many_foci_are_one_row_until_they_are_listed(make, rows):
+    """Foci of one block that share an arrow share its row; keys differ by focus only where the focus is an end."""
+    several = [f"a{i:02}" for i in range(20)]
+    edges = make.edges(
+        *(("j1", "read", "d", t) for t in several), ("j1", "write", "d", "m"), ("j2", "read", "d", "m"), ("j2", "write", "e", "z"),
+        ("j2", "write", "c", "z"),
+    )
+    jobs, tables = make.jobs(("j2", "glue", "two")), make.tables(("d", "m"))
+    foci = make.foci(*(("own", t) for t in several))
+    dag = diagram.lineage_dag(edges, foci)
+    arrows = diagram.dag_arrow_jobs(dag, jobs, tables)
+    # 20 arrows of j1 from each table in its own database and as seen by the others, and the shared arrow of j2
+    assert len(rows(arrows.where("label = 'glue: two'"))) == 1
+    wanted = sorted(("own", t, "d.m", "c.z", 0, "glue: two") for t in several)
+    found = diagram.dag_arrows(dag, jobs, tables)
+    assert rows(found.where("jobs = 'glue: two'")) == wanted
+    assert rows(found.where("source_key LIKE 'own%'")) == sorted(("own", t, f"own.{t}", "d.m", 0, "j1") for t in several)
+    assert rows(diagram.dag_arrows(dag, jobs, tables, page=1)) == rows(found)
+
+
+def test_clustered_diagrams_are_the_same(make, rows):
+    edges = make.edges(
+        ("j1", "read", "d", "a"), ("j1", "read", None, "a"), ("j1", "write", "d", "b"), ("j1", "write", "e", "b"), ("j2", "read", "d", "b"),
+        ("j2", "write", None, "c"), ("j3", "read", "d", "x"), ("j3", "write", "d", "a"),
+    )
+    jobs, tables = make.jobs(("j1", "glue", "one")), make.tables(("f", "c"), ("g", "c"))
+    foci = make.foci(("q", "a"), (None, "b"), ("d", None))
+    plain, stored = (diagram.lineage_dag(edges, foci, clustered_edges=n) for n in (10**9, 0))
+    assert rows(diagram.dag_arrows(plain, jobs, tables)) == rows(diagram.dag_arrows(stored, jobs, tables))
+    both = [rows(diagram.diagram_databases(dag, tables).drop("focus")) for dag in (plain, stored)]
+    assert both[0] == both[1]
+    assert (None, 0, None) in both[0] and ("c", 2, "f") in both[0] and ("a", 0, "q") in both[0]
