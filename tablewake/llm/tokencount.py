@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,15 @@ from tablewake.llm.common import Kept, chunks, table, text_of, with_columns, wor
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-KEPT = 64  # characters of a match whose counts are kept
+KEPT = 64  # a shorter match or chunk is kept, as no count in it is above 255, its most bytes
 MATCHES = 400_000  # matches kept by a worker
-CHUNKS = 600_000  # chunks kept by a worker
+CHUNKS = 1_200_000  # chunks kept by a worker
+HEADS = (9, 6)  # bytes of a match after which its state is kept for others that begin so, the longer first
+STATES = 300_000  # such states kept by a worker
 TOKEN_BITS = 24
-TOKEN = (1 << TOKEN_BITS) - 1
 TAIL = 3  # bytes at a token's end by which its length is bounded
 RUN = regex.compile(r"\s{2,}")
+LAST = itemgetter(-1)
 CONTRACTION = ("'re", "'ve", "'ll")
 
 
@@ -68,14 +71,14 @@ class Counter:
         for a, b in self.merges:
             self.parts.setdefault(self.ids[a + b], (self.ids[a], self.ids[b]))
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
         self.alone = {t: i for t, i in self.ids.items() if self._encode(t) == [t]}  # tokens that encode as themselves
         self.reach: dict[bytes, int] = {}  # by the last bytes of tokens: the longest of them
         for token in self.alone:
             end = token[-TAIL:]
             if len(end) == TAIL:
                 self.reach[end] = max(len(token), self.reach.get(end, 0))
-        self.prefixes: dict[bytes, int] = {}  # of matches: count and last token
+        self.heads: dict[bytes, tuple] = {}  # by the first bytes of matches: last tokens and counts at each position in them
         self.matches = Kept(MATCHES)
         self.known = Kept(CHUNKS)  # by chunk, with the blank before it
 
@@ -101,7 +104,7 @@ class Counter:
 
     def _goes(self, a: int, b: int) -> bool:
         """Is (a, b) the encoding of its bytes? It is unless a merge across the border comes before one that it disturbs."""
-        known = self.pair_ok.get((a, b))
+        known = self.pair_ok.get(a << TOKEN_BITS | b)
         if known is None:
             rank, most = self.rank, len(self.merges)
             known = not any(
@@ -111,48 +114,35 @@ class Counter:
             )
             if len(self.pair_ok) > 2 * MATCHES:
                 self.pair_ok.clear()
-            self.pair_ok[a, b] = known
+            self.pair_ok[a << TOKEN_BITS | b] = known
         return known
 
     def byte_counts(self, raw: bytes) -> list[int]:
-        """The count of each prefix of a match but the empty one."""
-        if len(raw) > 2 * KEPT:
-            return self._long_counts(raw)
-        done, tokens, reach, pair_ok = self.prefixes, self.alone.get, self.reach.get, self.pair_ok.get
-        if len(done) > 2 * MATCHES:
-            done.clear()
-        known = len(raw)
-        while known and raw[:known] not in done:
-            known -= 1
-        for end in range(known + 1, len(raw) + 1):
-            for begin in range(max(0, end - reach(raw[end - TAIL : end], TAIL - 1)) if end > TAIL else 0, end):
+        """The count of each prefix of a match but the empty one: for each position the last token before it and the count."""
+        tokens, reach, pair_ok, heads = self.alone.get, self.reach.get, self.pair_ok.get, self.heads
+        known = next((k for k in (heads.get(raw[:n]) for n in HEADS if n <= len(raw)) if k), None)
+        last, counts = map(list, known) if known else ([-1], [0])
+        for end in range(len(last), len(raw) + 1):
+            begin = end - reach(raw[end - TAIL : end], TAIL - 1) if end > TAIL else 0
+            if begin < 0:
+                begin = 0
+            while True:
                 token = tokens(raw[begin:end])
-                if token is None:
-                    continue
-                if not begin:
-                    done[raw[:end]] = 1 << TOKEN_BITS | token
-                    break
-                before = done[raw[:begin]]
-                good = pair_ok((before & TOKEN, token))
-                if good or good is None and self._goes(before & TOKEN, token):
-                    done[raw[:end]] = (before & ~TOKEN) + (1 << TOKEN_BITS) | token
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-        return [done[raw[:end]] >> TOKEN_BITS for end in range(1, len(raw) + 1)]
-
-    def _long_counts(self, raw: bytes) -> list[int]:
-        """The same by position, for a match whose prefixes are not worth keeping."""
-        last, counts = [-1], [0]
-        for end in range(1, len(raw) + 1):
-            for begin in range(max(0, end - self.reach.get(raw[end - TAIL : end], TAIL - 1)) if end > TAIL else 0, end):
-                token = self.alone.get(raw[begin:end])
-                if token is not None and (not begin or self._goes(last[begin], token)):
-                    last.append(token)
-                    counts.append(counts[begin] + 1)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                if token is not None:
+                    if not begin:
+                        break
+                    good = pair_ok(last[begin] << TOKEN_BITS | token)
+                    if good or good is None and self._goes(last[begin], token):
+                        break
+                begin += 1
+                if begin == end:
+                    raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            counts.append(counts[begin] + 1)
+            if end in HEADS:
+                if len(heads) >= STATES:
+                    heads.clear()
+                heads[raw[:end]] = tuple(last), tuple(counts)
         return counts[1:]
 
     def match_counts(self, match: str) -> list[int]:
@@ -172,7 +162,7 @@ class Counter:
             counts = self.matches.get(match)
             if counts is None:
                 counts = self.match_counts(match)
-                if len(match) <= KEPT and max(counts) < 256:
+                if len(match) < KEPT:
                     counts = bytes(counts)
                     self.matches.put(match, counts)
             if len(counts) == len(text):
@@ -186,7 +176,7 @@ class Counter:
         counts = self.known.get(chunk)
         if counts is None:
             counts = self._inside(f" {chunk}")
-            if len(chunk) <= KEPT and max(counts) < 256:
+            if len(chunk) < KEPT:
                 counts = bytes(counts)
                 self.known.put(chunk, counts)
         return counts
@@ -241,7 +231,9 @@ class Counter:
             counts = self.prefix_counts(text)
             return int(counts[-1]), int(np.flatnonzero(counts <= budget)[-1])
         parts = chunks(text)
-        ends = [*accumulate(t[-1] if t else 0 for t in self._tables(parts))]
+        tables = self._tables(parts)
+        tables[0] = tables[0] or b"\0"  # a blank at the start
+        ends = [*accumulate(map(LAST, tables))]
         if ends[-1] <= budget:
             return ends[-1], len(text)
         # A prefix that ends in a chunk has no fewer tokens than the chunks before it, so the longest that fits ends in the last

@@ -366,3 +366,23 @@ def test_perfect_hash_fills_every_slot_once():
         shifts, slots = line_dedup.build(h, f)
         assert sorted(slots.tolist()) == list(range(n))
         assert (line_dedup.find(h, f, shifts, n) == slots).all()
+
+
+def test_token_counts_start_from_the_longest_known_head():
+    path = public_tokenizers.path(tokencount.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        counter = tokencount.Counter(file.read(), public_tokenizers.PATTERN)
+    looked_up, alone = [], counter.alone
+    counter.alone = type("Seen", (), {"get": lambda self, key: looked_up.append(key) or alone.get(key)})()
+    plain = counter.byte_counts(b" unbelievably")
+    first = len(looked_up)
+    assert counter.byte_counts(b" unbelievers")[:9] == plain[:9]
+    assert all(plain[:n] == counter.byte_counts(b" unbelievably"[:n]) for n in range(1, 14))
+    looked_up.clear()
+    counter.byte_counts(b" unbelievably")
+    assert len(looked_up) < first
+    counter.byte_counts(b"%7d" % 3 * 50)
+    assert len(counter.heads) <= tokencount.STATES
+    ours = Tokenizer.from_file(path)
+    for text in ["\U0001d518" * 63, "\U0001d518" * 64, "a" * 63 + "é", " " + "é" * 64, "x\U0001d518" * 40]:
+        assert counter.total_and_fit(text, 1024)[0] == len(ours.encode(text, add_special_tokens=False).ids)
