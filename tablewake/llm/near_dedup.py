@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tablewake.llm import simhash
 from tablewake.llm.common import text_key, text_of
 from tablewake.llm.components import components
-from tablewake.sources.scratch import cut, cut_counted, discard
+from tablewake.sources.scratch import cut, cut_counted, cut_grouped, discard
 
 SHINGLE = 5
 SEED = 42
@@ -272,20 +273,41 @@ def links(texts: DataFrame, most: int = MOST_PAIRS) -> DataFrame:
     return found.union(_verified(pairs, texts))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of near-duplicates."""
+def _node(key: Column, salt: int) -> Column:
+    """The number of a text, from its key: the same whenever a task is run again."""
+    return F.xxhash64(F.lit(salt), key) if salt else key["a"]
+
+
+def distinct_texts(docs: DataFrame, node: Callable = _node) -> DataFrame:
+    """(node, who, text) for each text, clustered by node, so that texts move here only; ``who`` is its first row.
+
+    Where two texts have one number, all are numbered anew.
+    """
     keyed = docs.select("doc_id", text_of().alias("text"))
     keyed = keyed.select(F.isnull("doc_id").alias("unnamed"), "doc_id", text_key(F.col("text")).alias("key"), "text")
     who = F.min(F.struct("unnamed", "doc_id", "key")).alias("who")
-    texts = keyed.groupBy("key").agg(who, F.first("text").alias("text"))
-    texts = cut(texts.select(F.monotonically_increasing_id().alias("node"), "who", "text"))
+    for salt in count():
+        numbered = keyed.withColumn("node", node(F.col("key"), salt)).groupBy("node")
+        one = (F.min("key") == F.max("key")).alias("one")
+        texts = cut_grouped(numbered.agg(who, F.first("text").alias("text"), one), "node")
+        if texts.where("NOT one").isEmpty():
+            return texts.drop("one")
+        discard(texts)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of near-duplicates."""
+    texts = distinct_texts(docs)
     roots = components(links(texts))
     placed = texts.select("node", "who").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("who").alias("who"))
-    stay = placed.select(F.col("who.doc_id").alias("id"), F.col("who.key.a").alias("a"), F.col("who.key.b").alias("b"))
+    named = lambda row: F.coalesce(row.cast("string"), F.lit("")).alias("row_id")
+    key = lambda of: (of["a"].alias("row_a"), of["b"].alias("row_b"))
+    stay = cut(placed.select(F.col("who.unnamed").alias("row_unnamed"), named(F.col("who.doc_id")), *key(F.col("who.key"))))
+    discard(texts)
     # The documents' columns travel in one struct, so none of their names can clash with these.
-    key = text_key(text_of())
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), key["a"].alias("row_a"), key["b"].alias("row_b"))
-    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_a") == F.col("a")) & (F.col("row_b") == F.col("b"))
-    kept = rows.join(cut(stay), same, "left_semi")
-    # Equal rows have equal keys; the others are alone with theirs.
-    return kept.dropDuplicates(["row_id", "row_a", "row_b"]).select("row.*")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.isnull("doc_id").alias("row_unnamed"), named(F.col("doc_id")), *key(text_key(text_of()))
+    )
+    # Equal rows have equal keys; the others are alone with theirs. Keys have no nulls, so rows move once for both steps.
+    same = ["row_unnamed", "row_id", "row_a", "row_b"]
+    return rows.join(stay, same, "left_semi").dropDuplicates(same).select("row.*")

@@ -152,3 +152,33 @@ def test_the_sample_grows_with_the_table(spark, monkeypatch):
     assert set(near_dedup.shingle_set(" ".join(passage)).tolist()) <= set(hashes.tolist())
     monkeypatch.setattr(near_dedup, "FREQUENT", 3)
     assert len(near_dedup._frequent(rows)[0]) <= 3
+
+
+def moves(df, column):
+    """How often rows with the column are dealt out anew in the plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return len(re.findall(rf"\) Exchange\nInput \[\d+\]: \[[^\]]*\b{column}#", plan))
+
+
+def test_whole_texts_move_once_and_whole_rows_once(spark, monkeypatch):
+    random.seed(12)
+    base = [f"w{random.randint(0, 10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(edited(base, i % 3))) for i in range(8)] + [(None, "x"), (None, "x"), (3, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], DOCS)
+    seen, mapped = [], near_dedup._mapped
+    monkeypatch.setattr(near_dedup, "_mapped", lambda rows, *a: seen.append(moves(rows, "text")) or mapped(rows, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.keep_one(docs)
+        assert seen and not any(seen)
+        assert moves(kept, "row") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_of_one_number_are_numbered_anew(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 5}", "en", "s", 6) for i in range(10)], DOCS)
+    texts = near_dedup.distinct_texts(docs, lambda key, salt: near_dedup._node(key, salt) * int(salt > 0))
+    got = texts.collect()
+    assert sorted((r.who.doc_id, r.text) for r in got) == [(i, f"text {i}") for i in range(5)]
+    assert len({r.node for r in got}) == 5
