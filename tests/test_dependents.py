@@ -6,7 +6,7 @@ import pytest
 
 from tablewake.operators import dependents as dep
 from tablewake.operators.closure import job_visits, walk
-from tablewake.operators.masks import by_focus, named, named_foci
+from tablewake.operators.masks import by_focus, count_bits, named, named_foci
 from tablewake.plans.check_delete import dependents_reports
 
 FOCUS = ("sales", "orders")
@@ -228,3 +228,34 @@ def test_labels_and_databases_are_joined_before_a_row_per_focus_is_made(make, ro
     assert "known_name" in joined[first_rows:]
     assert "known_name" not in joined[:first_rows]
     assert "lambda" not in joined
+
+
+def test_report_text_needs_no_row_per_focus_and_job_reached_later(report, monkeypatch):
+    def refused(*_):
+        raise AssertionError("jobs by hop were asked for")
+
+    monkeypatch.setattr(dep, "entry_items", lambda entries: entries.foci.where("false").selectExpr("'' AS section"), raising=False)
+    monkeypatch.setattr(dep, "job_visits", refused)
+    out = report(
+        edges=[
+            ("j1", "read", "sales", "orders"), ("j1", "write", "a", "mid"), ("j2", "read", "a", "mid"),
+            ("j2", "write", "a", "end"), ("j3", "read", None, "end"), ("j3", "read", "sales", "orders"),
+        ],
+        joins=[("j4", "sales", "orders", "id", "a", "people", "id"), ("j4", "sales", "orders", "x", "a", "people", "x")],
+        jobs=[("j1", "glue", "one"), ("j2", "glue", "two"), ("j2", "glue", "twice"), ("j4", "glue", "four")],
+    )
+    assert out["summary"].asDict() == {
+        "focus_database": "sales", "focus_table": "orders", "in_catalog": False, "has_dependents": True, "n_direct_jobs": 2,
+        "n_direct_tables": 1, "n_join_refs": 2, "n_transitive_jobs": 2, "n_transitive_tables": 1, "jobs_broken": 4,
+        "tables_orphaned": 2,
+    }
+    assert [x for x in out["text"].splitlines() if x.startswith("    - ") or "reference" in x] == [
+        "    - glue: one", "    - j3", "    - a.mid", "  join references (1):", "    - glue: four joins sales.orders <-> a.people",
+        "    - a.end",
+    ]
+
+
+def test_bits_of_both_halves_of_a_mask_are_counted(spark, rows):
+    df = spark.createDataFrame([(1, -1, 1), (1, 1 << 31, 2), (1, -(1 << 63), 3), (2, 1 << 32, 1)], "block long, mask long, times long")
+    found = {f: n for f, n in rows(count_bits(df, "n", times="times"))}
+    assert [found[64 + b] for b in (0, 31, 32, 63)] == [1, 3, 1, 4] and found[128 + 32] == 1 and found[128] == 0
