@@ -186,3 +186,16 @@ def test_tables_are_tested_once_for_all_a_run_does(run, rows, monkeypatch):
     assert rows(result.records, "event_id", "flagged") == [("e1", True), ("e2", False)]
     assert result.totals.first()["flagged_tables"] == 1
     assert len(asked) == 1
+
+
+def test_findings_are_numbered_in_order_and_bear_their_own_lines(run):
+    other = '{"requestParameters":{"name":"used"}}'
+    out = run(
+        batch("b", "used", time=T1), ("s", "DeleteTable", "glue.amazonaws.com", T2, "ann", "r", other),
+    )
+    lines = out.lines.orderBy(*REPORT_ORDER).collect()
+    assert out.lines.schema["finding_rank"].dataType.simpleString() == "bigint"
+    assert [r.line for r in lines if r.line.startswith("DELETED")] == ["DELETED WITH DEPENDENTS: used", "DELETED WITH DEPENDENTS: db.used"]
+    ranks = [r.finding_rank for r in lines]
+    assert ranks == sorted(ranks) and len(set(ranks)) == 3
+    assert [r.line for r in lines if r.line.startswith("    - ")] == ["    - glue: one", "    - db.out"] * 2
