@@ -208,3 +208,18 @@ def test_views_are_made_from_written_ones(spark, tmp_path):
     edges = view(spark, str(tmp_path), "lk_edges")
     plain, few = (view(spark, str(tmp_path), "lk_join_edges", **own) for own in ({}, {"lk_edges": edges.where("false")}))
     assert plain.where("evidence <> 'df merge'").count() == 0 and few.count() == 3
+
+
+def test_a_batch_deals_out_its_events_and_writes_no_stored_edges_again(spark, make, tmp_path, monkeypatch):
+    from tablewake.plans import audit_run
+
+    written, plain = [], audit_run.cut
+    monkeypatch.setattr(audit_run, "cut", lambda df: written.append(df) or plain(df))
+    root = str(tmp_path / "catalog")
+    snapshot.write_snapshot(spark, root, _all_tables({"job_table_edges": make.edges(("j1", "read", "a", "used"))}))
+    events = make.frame([event(f"e{k}", "used", k) for k in range(8)], INVENTORY["events"]).coalesce(1)
+    stream.audit_batch(spark, events, root, str(tmp_path / "log"), str(tmp_path / "reports"), 1)
+    assert not any("direction" in df.columns or "left_table" in df.columns for df in written)
+    dealt = next(df for df in written if "cloud_trail_event" in df.columns)
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert snapshot.read_audit_log(spark, str(tmp_path / "log")).count() == 8
